@@ -22,14 +22,26 @@ LINE_NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 STATS = ("mean", "med", "min", "max")
 
 
-def _flat(artifact: DataFrame, *values: str, digits: int = 4) -> DataFrame:
+# Money columns keep three decimals (the median of two cents amounts has three), the rest six.
+MONEY = ("o_totalprice", "c_acctbal", "l_extendedprice")
+
+
+def _digits(num: str) -> int:
+    return 3 if num in MONEY else 6
+
+
+def _flat(artifact: DataFrame, *values: str) -> DataFrame:
     """(set, k1, k2, ...) with rounded numbers: plain scalars to compare."""
     kinds = dict(artifact.dtypes)
+    money = F.col("num").isin(*MONEY) if "num" in kinds else F.lit(False)
+
+    def shown(v):
+        if kinds[v] != "double":
+            return F.col(v)
+        return F.when(money, F.round(v, 3)).otherwise(F.round(v, 6)).alias(v)
+
     return artifact.select(
-        "set",
-        F.get("keys", F.lit(0)).alias("k1"),
-        F.get("keys", F.lit(1)).alias("k2"),
-        *[F.round(v, digits).alias(v) if kinds[v] == "double" else F.col(v) for v in values],
+        "set", F.get("keys", F.lit(0)).alias("k1"), F.get("keys", F.lit(1)).alias("k2"), *[shown(v) for v in values]
     )
 
 
@@ -57,8 +69,9 @@ def _sql_stats(source: str, sets, nums) -> str:
         select, known = _sql_keys(s)
         for x in nums:
             parts.append(
-                f"""SELECT {select}, '{x}' AS num, count({x}) AS n, round(avg({x}), 4) AS mean, round(median({x}), 4) AS med,
-                    round(min({x}), 4) AS min, round(max({x}), 4) AS max FROM {source} WHERE {known} GROUP BY {', '.join(s)}"""
+                f"""SELECT {select}, '{x}' AS num, count({x}) AS n, round(avg({x}), {_digits(x)}) AS mean,
+                    round(median({x}), {_digits(x)}) AS med, round(min({x}), {_digits(x)}) AS min,
+                    round(max({x}), {_digits(x)}) AS max FROM {source} WHERE {known} GROUP BY {', '.join(s)}"""
             )
     return " UNION ALL ".join(parts)
 
@@ -96,7 +109,7 @@ def _classed_docs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def odds_single(spark: SparkSession, sf: str) -> DataFrame:
     fitted = odds.fit_odds(_classed_docs(spark, sf), LABEL_CLASS, DOC_CLASSES, DOC_SETS)
-    return _flat(fitted, "class", "n", "pos", "neg", "odds", digits=6)
+    return _flat(fitted, "class", "n", "pos", "neg", "odds")
 
 
 # segment_known and every flag hold nulls, so pairs with them are left out.
@@ -113,7 +126,7 @@ def odds_pair(spark: SparkSession, sf: str) -> DataFrame:
     df = labels.with_classes(v_orders(spark, sf), ORDER_ROLES)
     complete = columns.complete_columns(df, [*CATS, *ORDER_ROLES.binary])
     sets = odds.odds_sets(CATS, ORDER_ROLES.binary, complete)
-    return _flat(odds.fit_odds(df, LABEL_ANY, ANY_CLASSES, sets), "class", "n", "pos", "neg", "odds", digits=6)
+    return _flat(odds.fit_odds(df, LABEL_ANY, ANY_CLASSES, sets), "class", "n", "pos", "neg", "odds")
 
 
 FLAG_SETS = [("lang",), ("source",), ("lang", "source"), ("lang", "has_digit"), ("source", "is_long")]
@@ -176,7 +189,7 @@ def _sql_stats_attach() -> str:
     cols, joins = [], []
     for i, s in enumerate(ATTACHED_SETS):
         for x in ATTACHED_NUMS:
-            cols += [f'round(t{i}.{x}_{f}, 4) AS "{"_".join(s)}_{x}_{f}"' for f in STATS]
+            cols += [f'round(t{i}.{x}_{f}, {_digits(x)}) AS "{"_".join(s)}_{x}_{f}"' for f in STATS]
         each = ", ".join(
             f"avg({x}) AS {x}_mean, median({x}) AS {x}_med, min({x}) AS {x}_min, max({x}) AS {x}_max" for x in ATTACHED_NUMS
         )
@@ -191,8 +204,13 @@ def stats_attach(spark: SparkSession, sf: str) -> DataFrame:
     df = materialise(v_orders(spark, sf).select(KEY, *CATS, *ATTACHED_NUMS), "orders")
     fitted = materialise(groupstats.fit_group_stats(df, ATTACHED_SETS, ATTACHED_NUMS), "stats")
     out = groupstats.attach_group_stats(df, fitted, ATTACHED_SETS, ATTACHED_NUMS, salt_on=[KEY])
-    names = groupstats.stat_names(ATTACHED_SETS, ATTACHED_NUMS)
-    return out.select(KEY, *[F.round(n, 4).alias(n) for n in names])
+    shown = [
+        F.round(groupstats.stat_name(s, x, f), _digits(x)).alias(groupstats.stat_name(s, x, f))
+        for s in ATTACHED_SETS
+        for x in ATTACHED_NUMS
+        for f in STATS
+    ]
+    return out.select(KEY, *shown)
 
 
 def _sql_meansd(source: str, sets, nums) -> str:
@@ -201,7 +219,7 @@ def _sql_meansd(source: str, sets, nums) -> str:
         select, known = _sql_keys(s)
         for x in nums:
             parts.append(
-                f"""SELECT {select}, '{x}' AS num, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS sd
+                f"""SELECT {select}, '{x}' AS num, round(avg({x}), {_digits(x)}) AS mean, round(stddev_samp({x}), {_digits(x)}) AS sd
                     FROM {source} WHERE {known} GROUP BY {', '.join(s)}"""
             )
     return " UNION ALL ".join(parts)
@@ -278,7 +296,8 @@ def _sql_normalised(source: str, cats, nums) -> str:
         for x in nums:
             parts.append(
                 f"""SELECT '{c}' AS set, CAST({c} AS VARCHAR) AS k1, CAST(NULL AS VARCHAR) AS k2, '{x}' AS num,
-                    round(avg(z), 6) AS mean, round(median(z), 6) AS med, round(min(z), 6) AS min, round(max(z), 6) AS max
+                    round(avg(z), {_digits(x)}) AS mean, round(median(z), {_digits(x)}) AS med, round(min(z), {_digits(x)}) AS min,
+                    round(max(z), {_digits(x)}) AS max
                     FROM (SELECT {c}, (x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0) AS z
                           FROM (SELECT l.{c}, l.{x} AS x FROM {source} l JOIN {_sql_bounds(source, c, nums)} b ON l.{c} = b.{c}
                                 WHERE NOT {_sql_outlier(f'l.{x}', f'b.m_{x}', f'b.s_{x}')})
@@ -292,7 +311,7 @@ def stats_normalized(spark: SparkSession, sf: str) -> DataFrame:
     df = lines(spark, sf)
     bounds = groupstats.fit_bounds(df, LINE_SINGLE, LINE_NUMS)
     fitted = groupstats.fit_normalised_stats(df, bounds, LINE_SINGLE, LINE_NUMS)
-    return _flat(fitted, "num", *STATS, digits=6)
+    return _flat(fitted, "num", *STATS)
 
 
 # --- correlation ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from foldsmith.catalog.views import DOC_ROLES, ORDER_ROLES, sql_with, v_docs, v_
 from foldsmith.functions.names import penalty
 from foldsmith.operators import auc, combine, labels, selection, splits
 from foldsmith.roles import LABEL_CLASS
+from foldsmith.scratch import materialise
 
 KEY = ORDER_ROLES.key
 FOLDS, REPEATS, PROBES = 5, 2, 10
@@ -85,14 +86,16 @@ def _selection_rows(spark: SparkSession, sf: str) -> DataFrame:
     for n, (p, s) in CROSSED.items():
         cols[n] = ((F.col("o_orderpriority") == p) & (F.col("c_mktsegment") == s)).cast("double")
     df = splits.probes(df.withColumns(cols), KEY, PROBES)
-    return splits.folds(df, KEY, FOLDS, REPEATS).select(
-        KEY, "returned", *ALL_FEATURES, *[splits.fold_column(r) for r in range(REPEATS)]
-    )
+    values = F.array(*[F.col(f).cast("double") for f in ALL_FEATURES]).alias("features")
+    folded = splits.folds(df, KEY, FOLDS, REPEATS)
+    rows = folded.select("returned", values, *[splits.fold_column(r) for r in range(REPEATS)])
+    return materialise(rows, "selection-rows")
 
 
 def importances(spark: SparkSession, sf: str) -> DataFrame:
     raw = selection.abs_corr_importances(
-        _selection_rows(spark, sf), ALL_FEATURES, F.col("returned"), FOLDS, REPEATS, set(splits.probe_names(PROBES))
+        _selection_rows(spark, sf), "features", ALL_FEATURES, F.col("returned"), FOLDS, REPEATS,
+        set(splits.probe_names(PROBES)),
     )
     return selection.penalise(raw, selection.penalties(spark, ALL_FEATURES, ORDER_ROLES.penalties))
 

@@ -48,6 +48,12 @@ def combination_names(flags: tuple[str, ...], mode: str = "all") -> list[tuple[s
     return [(n, "comb_sum") for n in pairs + triples] + [(n + CLIPPED, "comb") for n in pairs + triples]
 
 
+def _triple_array(form: TripleForm, x: Column, triples: Column) -> Column:
+    return F.transform(
+        triples, lambda t: _triple_value(form, F.get(x, t["a"]), F.get(x, t["b"]), F.get(x, t["c"]))
+    )
+
+
 def combination_array(flags: tuple[str, ...], mode: str = "all") -> Column:
     """All pairs and all triple forms, then their clipped twins, as one array<double>.
 
@@ -64,15 +70,7 @@ def combination_array(flags: tuple[str, ...], mode: str = "all") -> Column:
         for i, j, k in flag_triples(len(flags), mode)
     ]
     if triples:
-        for form in TRIPLE_FORMS:
-            parts.append(
-                F.transform(
-                    F.array(*triples),
-                    lambda t, form=form: _triple_value(
-                        form, F.get(x, t["a"]), F.get(x, t["b"]), F.get(x, t["c"])
-                    ),
-                )
-            )
+        parts += [_triple_array(form, x, F.array(*triples)) for form in TRIPLE_FORMS]
     if not parts:
         return F.array().cast("array<double>")
     raw = F.concat(*parts)

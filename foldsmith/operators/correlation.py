@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions import expressions as E
+from foldsmith.functions.blocks import array_means, blocks
 
 # Columns per side of one moment block.
 BLOCK = 1000
@@ -34,23 +33,15 @@ def block_correlation(df: DataFrame, column: str, rows: list[int], cols: list[in
     used = sorted({*rows, *cols})
     at = {p: k for k, p in enumerate(used)}
     x = df.select(F.array(*[F.get(column, F.lit(p)) for p in used]).alias("x"))
-    means = x.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"))
-    shift = np.zeros(len(used))
-    for r in means.collect():  # one number per column
-        if r["m"] is not None and np.isfinite(r["m"]):
-            shift[r["p"]] = r["m"]
+    shift = array_means(x, "x", len(used))
     left, right = np.array(rows), np.array(cols)
     li, ri = [at[p] for p in rows], [at[p] for p in cols]
     a, b = np.nonzero(left[:, None] < right[None, :])
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def moments(batches):
         n, si, sj, sii, sjj, sij = (np.zeros((len(li), len(ri))) for _ in MOMENTS)
-        seen = False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            seen = True
-            v = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1) - shift
+        for v, _ in blocks(batches, "x", len(shift)):
+            v = v - shift
             m = (~np.isnan(v)).astype(float)
             v = np.nan_to_num(v, nan=0.0)
             vi, mi, vj, mj = v[:, li], m[:, li], v[:, ri], m[:, ri]
@@ -60,12 +51,12 @@ def block_correlation(df: DataFrame, column: str, rows: list[int], cols: list[in
             sii += (vi * vi).T @ mj
             sjj += mi.T @ (vj * vj)
             sij += vi.T @ vj
-        if seen:
+        if n.any():
             out = {"i": left[a].astype("int32"), "j": right[b].astype("int32")}
             out.update({k: v[a, b] for k, v in zip(MOMENTS, (n, si, sj, sii, sjj, sij))})
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pydict(out)
 
-    total = x.mapInPandas(moments, _SCHEMA).groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    total = x.mapInArrow(moments, _SCHEMA).groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     return total.select(
         "i", "j", F.col("n").cast("bigint").alias("n"), E.pearson(*[F.col(m) for m in MOMENTS]).alias("r")
     )
