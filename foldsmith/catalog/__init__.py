@@ -7,6 +7,6 @@ from types import SimpleNamespace
 
 def load() -> SimpleNamespace:
     """Import every query module and return what they registered."""
-    from foldsmith.catalog import groups, registry, rows, selecting  # noqa: F401
+    from foldsmith.catalog import groups, pipelines, registry, rows, selecting  # noqa: F401
 
     return SimpleNamespace(queries=registry.QUERIES, oracles=registry.ORACLES)

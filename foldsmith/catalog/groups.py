@@ -328,8 +328,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corr_matrix", SQL_VECTORS + "SELECT i, j, n, r FROM m")
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    every = list(range(DIMENSIONS))
-    out = correlation.block_correlation(_vectors(spark, sf), "x", every, every)
+    out = correlation.array_correlation(_vectors(spark, sf), "x", list(range(DIMENSIONS)))
     return out.select("i", "j", "n", F.round("r", 6).alias("r"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +68,17 @@ def uniform(seed: int, index: int, key: Column) -> Column:
     return (hash32(F.lit(str(seed)), F.lit(str(index)), key) + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pick(array: str, positions: Sequence[int]) -> Column:
+    """The elements at ``positions``, as an array: one lambda however many there are."""
+    wanted = F.lit(list(positions)).cast("array<int>")
+    return let(F.col(array), lambda x: F.transform(wanted, lambda p: F.get(x, p)))
+
+
 def pearson(n: Column, si: Column, sj: Column, sii: Column, sjj: Column, sij: Column) -> Column:
     """Correlation from summed moments; null unless both variances are positive."""
     cov = sij - si * sj / n

@@ -60,21 +60,33 @@ def combination_array(flags: tuple[str, ...], mode: str = "all") -> Column:
     The plan holds one lambda per form over a constant list of index triples, so its size does not
     depend on how many combinations there are.
     """
-    x = F.array(*[F.col(f).cast("double") for f in flags])
-    picks = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in flag_pairs(len(flags), mode)]
-    parts = []
-    if picks:
-        parts.append(F.transform(F.array(*picks), lambda t: F.get(x, t["a"]) + F.get(x, t["b"])))
-    triples = [
-        F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c"))
-        for i, j, k in flag_triples(len(flags), mode)
-    ]
-    if triples:
-        parts += [_triple_array(form, x, F.array(*triples)) for form in TRIPLE_FORMS]
-    if not parts:
+    pairs = flag_pairs(len(flags), mode)
+    if not pairs:
         return F.array().cast("array<double>")
-    raw = F.concat(*parts)
-    return F.concat(raw, F.transform(raw, E.clip_to_one))
+    triples = flag_triples(len(flags), mode)
+
+    def values(x: Column) -> Column:
+        picks = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in pairs]
+        parts = [F.transform(F.array(*picks), lambda t: F.get(x, t["a"]) + F.get(x, t["b"]))]
+        if triples:
+            picks = [
+                F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("c")) for i, j, k in triples
+            ]
+            parts += [_triple_array(form, x, F.array(*picks)) for form in TRIPLE_FORMS]
+        return F.concat(*parts)
+
+    flags_array = F.array(*[F.col(f).cast("double") for f in flags])
+    return E.let(E.let(flags_array, values), lambda raw: F.concat(raw, F.transform(raw, E.clip_to_one)))
+
+
+def clipped_columns(flags: tuple[str, ...], mode: str = "all", limit: int | None = None) -> dict[str, Column]:
+    """The first ``limit`` clipped combinations: pairs, then the triple forms in order."""
+    out = {n: c for n, c in pair_columns(flags, mode).items() if n.endswith(CLIPPED)}
+    for form in TRIPLE_FORMS:
+        if limit is not None and len(out) >= limit:
+            break
+        out.update({n: c for n, c in triple_columns(flags, form, mode).items() if n.endswith(CLIPPED)})
+    return dict(list(out.items())[:limit])
 
 
 def add_combinations(df: DataFrame, flags: tuple[str, ...], mode: str = "all") -> DataFrame:

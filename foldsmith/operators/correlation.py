@@ -19,23 +19,27 @@ _SCHEMA = "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS)
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, n, r) for positions i < j of ``columns``; r is null where a column is constant."""
     x = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    every = list(range(len(columns)))
-    return block_correlation(x, "x", every, every)
+    return array_correlation(x, "x", list(range(len(columns))))
 
 
-def block_correlation(df: DataFrame, column: str, rows: list[int], cols: list[int]) -> DataFrame:
-    """(i, j, n, r), i < j, for positions i in ``rows`` and j in ``cols`` of an array<double> column.
+def array_correlation(
+    df: DataFrame, column: str, order: list[int], rows: range | None = None, cols: range | None = None
+) -> DataFrame:
+    """(i, j, n, r), i < j, where i and j count along ``order``, positions of an array<double> column.
+
+    ``rows`` and ``cols`` limit i and j to one block.
 
     Each task adds the moments of its own rows with matrix products and emits them once, one row
     per column pair; no row of ``df`` is shuffled. Values are shifted by the column means first so
     that sums of squares keep their digits.
     """
+    rows, cols = rows or range(len(order)), cols or range(len(order))
     used = sorted({*rows, *cols})
-    at = {p: k for k, p in enumerate(used)}
-    x = df.select(F.array(*[F.get(column, F.lit(p)) for p in used]).alias("x"))
+    at = {k: n for n, k in enumerate(used)}
+    x = df.select(E.pick(column, [order[k] for k in used]).alias("x"))
     shift = array_means(x, "x", len(used))
     left, right = np.array(rows), np.array(cols)
-    li, ri = [at[p] for p in rows], [at[p] for p in cols]
+    li, ri = [at[k] for k in rows], [at[k] for k in cols]
     a, b = np.nonzero(left[:, None] < right[None, :])
 
     def moments(batches):
@@ -75,13 +79,11 @@ def drop_positions(
     Wide arrays are worked off block pair by block pair, so a task never holds more than a few
     ``block`` x ``block`` matrices; only dropped positions reach the driver.
     """
-    x = df.select(F.array(*[F.get(column, F.lit(p)) for p in order]).alias("x"))
-    starts = range(0, len(order), block)
-    ranges = [list(range(s, min(s + block, len(order)))) for s in starts]
+    ranges = [range(s, min(s + block, len(order))) for s in range(0, len(order), block)]
     gone: set[int] = set()
     for bi, rows in enumerate(ranges):
         for cols in ranges[bi:]:
-            hits = drop_list(block_correlation(x, "x", rows, cols), threshold).collect()
+            hits = drop_list(array_correlation(df, column, order, rows, cols), threshold).collect()
             gone |= {order[r["j"]] for r in hits}
     return gone
 

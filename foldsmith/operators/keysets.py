@@ -26,6 +26,8 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
     ``grouping_id``. Partial aggregation runs before the shuffle, so a hot group sends one row
     per task.
     """
+    if len({set_name(s) for s in sets}) < len(sets):
+        raise ValueError("two group sets share a name; rename a column")
     cols = list(dict.fromkeys(c for s in sets for c in s))
     wide = df.groupingSets([list(s) for s in sets], *cols).agg(F.grouping_id().alias("_gid"), *aggs)
     width = len(cols)
@@ -51,8 +53,45 @@ def explode_sets(df: DataFrame, sets: list[KeySet], keep: list[str | Column]) ->
     return df.select(F.inline(complete), *keep)
 
 
-def attach_set(df: DataFrame, lookup: DataFrame, s: KeySet, salt_on: list[str] | None = None) -> DataFrame:
+def attach_set(
+    df: DataFrame, lookup: DataFrame, s: KeySet, salt_on: list[str] | None = None, cells: int | None = None
+) -> DataFrame:
     """Left-join a lookup keyed by ``keys`` on the columns of ``s``; rows with a null key get nulls."""
     key = "_keys_" + set_name(s)
     bare = df.withColumn(key, F.when(~F.exists(keys_of(s), lambda k: k.isNull()), keys_of(s)))
-    return attach(bare, lookup.withColumnRenamed("keys", key), [key], "left", salt_on).drop(key)
+    return attach(bare, lookup.withColumnRenamed("keys", key), [key], "left", salt_on, cells=cells).drop(key)
+
+
+def value_lookup(parts: list[DataFrame]) -> DataFrame:
+    """(set, keys, values): all fitted numbers of a group in one map from item to number.
+
+    ``parts`` are (set, keys, item, value) tables; a group has as many items as were fitted for it.
+    """
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    entries = F.map_from_entries(F.collect_list(F.struct("item", "value")))
+    return rows.groupBy("set", "keys").agg(entries.alias("values"))
+
+
+def attach_values(
+    df: DataFrame, lookup: DataFrame, items: dict[KeySet, list[str]], salt_on: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Add one array<double> column per set with its items in order, one join per set.
+
+    Returns the table and the added columns. Unknown groups and items are null elements.
+    """
+    groups = {r["set"]: r["n"] for r in lookup.groupBy("set").agg(F.count("*").alias("n")).collect()}
+    added = []
+    for at, (s, wanted) in enumerate(items.items()):
+        col = f"_values_{at}"
+        part = lookup.filter(F.col("set") == set_name(s)).select("keys", F.col("values").alias(col))
+        df = attach_set(df, part, s, salt_on, cells=groups.get(set_name(s), 0) * (len(wanted) + 1))
+        names = F.array(*[F.lit(i) for i in wanted])
+        df = df.withColumn(col, _pick(names, col))
+        added.append(col)
+    return df, added
+
+
+def _pick(names: Column, values: str) -> Column:
+    return F.transform(names, lambda i: F.try_element_at(F.col(values), i))

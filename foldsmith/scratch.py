@@ -44,14 +44,17 @@ def attach(
     how: str = "left",
     salt_on: list[str | Column] | None = None,
     max_cells: int = BROADCAST_CELLS,
+    cells: int | None = None,
 ) -> DataFrame:
     """Equi-join ``df`` to a many-to-one lookup.
 
-    The lookup is counted first. Small: broadcast, so ``df`` does not move. Large: both sides
+    The lookup is counted first, unless its size is given in ``cells``. Small: broadcast, so ``df`` does not move. Large: both sides
     shuffle on the key plus a salt taken from the row, so one hot (or null) key never lands in a
     single task.
     """
-    if lookup.count() * len(lookup.columns) <= max_cells:
+    if cells is None:
+        cells = lookup.count() * len(lookup.columns)
+    if cells <= max_cells:
         return df.join(F.broadcast(lookup), on, how)
     return salted_join(df, lookup, on, how, salt_on)
 
