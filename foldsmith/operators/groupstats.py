@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions import expressions as E
 from foldsmith.functions.names import category_pairs, set_name
-from foldsmith.operators.keysets import KeySet, attach_set, explode_sets, grouping_sets_agg
+from foldsmith.operators.keysets import (
+    GROUP,
+    KeySet,
+    attach_set,
+    explode_sets,
+    grouping_sets_agg,
+    named_groups,
+    numbered_groups,
+)
 from foldsmith.operators.medians import DIRECT_ROWS, fits_direct, grouped_medians
 from foldsmith.scratch import attach, materialise
 
@@ -47,11 +55,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _value_rows(long_keys: DataFrame, nums: list[str], value: dict[str, Column]) -> DataFrame:
+def _value_rows(groups: DataFrame, nums: list[str]) -> DataFrame:
+    """One row per group row and number: GROUP columns, ``num_id`` and ``value``."""
     each = F.array(
-        *[F.struct(F.lit(n).alias("num"), value[n].cast("double").alias("value")) for n in nums]
+        *[F.struct(F.lit(i).alias("num_id"), F.col(n).cast("double").alias("value")) for i, n in enumerate(nums)]
     )
-    return long_keys.select("set", "keys", F.inline(each))
+    return groups.select(*GROUP, F.inline(each))
+
+
+def _medians(groups: DataFrame, sets: list[KeySet], nums: list[str], direct_rows: int) -> DataFrame:
+    """(set, keys, num, med) by bracketing."""
+    med = grouped_medians(_value_rows(groups, nums), [*GROUP, "num_id"], direct_rows)
+    num = F.get(F.array(*[F.lit(n) for n in nums]), "num_id").alias("num")
+    return named_groups(med.select(*GROUP, num, "med"), sets)
 
 
 def fit_group_stats(
@@ -80,8 +96,7 @@ def fit_group_stats(
         parts.append(_long(grouping_sets_agg(df, sets, aggs), chunk, fields))
     stats = _union(parts)
     if not direct:
-        rows = _value_rows(explode_sets(df, sets, list(nums)), list(nums), {n: F.col(n) for n in nums})
-        med = grouped_medians(rows, ["set", "keys", "num"], direct_rows)
+        med = _medians(explode_sets(df, sets, list(nums)), sets, nums, direct_rows)
         stats = stats.join(med, ["set", "keys", "num"], "left")
     return stats.select("set", "keys", "num", "n", *STATS)
 
@@ -97,20 +112,24 @@ def fit_bounds(df: DataFrame, sets: list[KeySet], nums: list[str]) -> DataFrame:
     return _union(parts)
 
 
-def _with_bounds(df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str]) -> DataFrame:
-    """One row per (row, set): set, keys, numbers and ``_b`` = map from number to (mean, sd)."""
-    per_key = bounds.groupBy("set", "keys").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("num", F.struct("mean", "sd")))  # one entry per number
-        ).alias("_b")
+def _kept(
+    df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str], width: float
+) -> DataFrame:
+    """GROUP columns and the numbers, null where the outlier rule takes the value out."""
+    per_group = numbered_groups(bounds, sets).groupBy(*GROUP).agg(
+        *[
+            F.max(F.when(F.col("num") == n, F.col(f))).alias(f"_{f}_{i}")
+            for i, n in enumerate(nums)
+            for f in ("mean", "sd")
+        ]
     )
-    return attach(explode_sets(df, sets, list(nums)), materialise(per_key, "bounds"), ["set", "keys"])
+    rows = attach(explode_sets(df, sets, list(nums)), per_group, GROUP)
 
+    def kept(i: int, n: str) -> Column:
+        out = E.is_outlier(F.col(n), F.col(f"_mean_{i}"), F.col(f"_sd_{i}"), width)
+        return F.when(~out, F.col(n)).alias(n)
 
-def kept_value(num: str, width: float = OUTLIER_WIDTH) -> Column:
-    """The number where the outlier rule keeps the row, else null."""
-    b = F.col("_b")[num]
-    return F.when(~E.is_outlier(F.col(num), b["mean"], b["sd"], width), F.col(num))
+    return rows.select(*GROUP, *[kept(i, n) for i, n in enumerate(nums)])
 
 
 def outlier_flags(
@@ -132,9 +151,12 @@ def kept_rows(
     df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str], width: float = OUTLIER_WIDTH
 ) -> DataFrame:
     """(set, keys, num, value): every known value the outlier rule keeps in its category."""
-    rows = _with_bounds(df, bounds, sets, nums)
-    values = _value_rows(rows, nums, {n: kept_value(n, width) for n in nums})
-    return values.filter(F.col("value").isNotNull())
+    parts = []
+    for chunk in _chunks(nums):
+        values = _value_rows(_kept(df, bounds, sets, chunk, width), chunk).filter(F.col("value").isNotNull())
+        num = F.get(F.array(*[F.lit(n) for n in chunk]), "num_id").alias("num")
+        parts.append(named_groups(values.select(*GROUP, num, "value"), sets))
+    return _union(parts)
 
 
 def normalised_rows(
@@ -167,13 +189,14 @@ def fit_normalised_stats(
     the kept values, no second one over scaled rows.
     """
     direct = fits_direct(df, direct_rows)
-    rows = _with_bounds(df, bounds, sets, nums)
+    bounds = materialise(bounds, "bounds")
     fields = ("lo", "hi", "mean") + (("med",) if direct else ())
     parts = []
     for chunk in _chunks(nums):
+        rows = _kept(df, bounds, sets, chunk, width)
         aggs = []
         for i, c in enumerate(chunk):
-            x = kept_value(c, width)
+            x = F.col(c)
             aggs += [
                 F.min(x).cast("double").alias(f"lo_{i}"),
                 F.max(x).cast("double").alias(f"hi_{i}"),
@@ -181,12 +204,11 @@ def fit_normalised_stats(
             ]
             if direct:
                 aggs.append(F.median(x).alias(f"med_{i}"))
-        parts.append(_long(rows.groupBy("set", "keys").agg(*aggs), chunk, fields))
+        part = _long(named_groups(rows.groupBy(*GROUP).agg(*aggs), sets), chunk, fields)
+        if not direct:
+            part = part.join(_medians(rows, sets, chunk, direct_rows), ["set", "keys", "num"], "left")
+        parts.append(part)
     raw = _union(parts)
-    if not direct:
-        values = _value_rows(rows, list(nums), {n: kept_value(n, width) for n in nums})
-        med = grouped_medians(values, ["set", "keys", "num"], direct_rows)
-        raw = raw.join(med, ["set", "keys", "num"], "left")
     lo, hi = F.col("lo"), F.col("hi")
     spread = hi > lo
     return raw.select(

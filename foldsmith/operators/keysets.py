@@ -13,6 +13,7 @@ from foldsmith.functions.names import set_name
 from foldsmith.scratch import attach
 
 KeySet = tuple[str, ...]
+GROUP = ["set_id", "k1", "k2"]
 
 
 def keys_of(s: KeySet) -> Column:
@@ -45,12 +46,40 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
 
 
 def explode_sets(df: DataFrame, sets: list[KeySet], keep: list[str | Column]) -> DataFrame:
-    """One row per input row and set (null keys left out): set, keys and the kept columns."""
-    entries = F.array(
-        *[F.struct(F.lit(set_name(s)).alias("set"), keys_of(s).alias("keys")) for s in sets]
+    """One row per input row and set (null keys left out): the GROUP columns and the kept ones.
+
+    Plain scalars only, so everything up to the aggregate stays in generated code.
+    """
+
+    def entry(i: int, s: KeySet) -> Column:
+        second = F.col(s[1]).cast("string") if len(s) > 1 else F.lit("")
+        return F.struct(
+            F.lit(i).alias("set_id"), F.col(s[0]).cast("string").alias("k1"), second.alias("k2")
+        )
+
+    out = df.select(F.inline(F.array(*[entry(i, s) for i, s in enumerate(sets)])), *keep)
+    return out.filter(F.col("k1").isNotNull() & F.col("k2").isNotNull())
+
+
+def named_groups(df: DataFrame, sets: list[KeySet]) -> DataFrame:
+    """GROUP columns to (set, keys)."""
+    names = F.array(*[F.lit(set_name(s)) for s in sets])
+    single = F.get(F.array(*[F.lit(len(s) == 1) for s in sets]), "set_id")
+    keys = F.when(single, F.array("k1")).otherwise(F.array("k1", "k2"))
+    rest = [c for c in df.columns if c not in GROUP]
+    return df.select(F.get(names, "set_id").alias("set"), keys.alias("keys"), *rest)
+
+
+def numbered_groups(df: DataFrame, sets: list[KeySet]) -> DataFrame:
+    """(set, keys) to GROUP columns; sets not listed are left out."""
+    at = F.array_position(F.array(*[F.lit(set_name(s)) for s in sets]), F.col("set"))
+    rest = [c for c in df.columns if c not in ("set", "keys")]
+    return df.filter(at > 0).select(
+        (at - 1).cast("int").alias("set_id"),
+        F.get("keys", F.lit(0)).alias("k1"),
+        F.coalesce(F.get("keys", F.lit(1)), F.lit("")).alias("k2"),
+        *rest,
     )
-    complete = F.filter(entries, lambda e: ~F.exists(e["keys"], lambda k: k.isNull()))
-    return df.select(F.inline(complete), *keep)
 
 
 def attach_set(
