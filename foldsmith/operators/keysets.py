@@ -111,15 +111,30 @@ def attach_values(
     Returns the table and the added columns. Unknown groups and items are null elements.
     """
     groups = {r["set"]: r["n"] for r in lookup.groupBy("set").agg(F.count("*").alias("n")).collect()}
-    added = []
-    for at, (s, wanted) in enumerate(items.items()):
-        col = f"_values_{at}"
-        part = lookup.filter(F.col("set") == set_name(s)).select("keys", F.col("values").alias(col))
-        df = attach_set(df, part, s, salt_on, cells=groups.get(set_name(s), 0) * (len(wanted) + 1))
+    # All keys first and all null filling last: the joins then chain without steps between them.
+    key_of = {s: f"_key_{at}" for at, s in enumerate(items)}
+    out = df.withColumns({k: _flat_key([F.col(c).cast("string") for c in s]) for s, k in key_of.items()})
+    filled = {}
+    # Short arrays first, so that the long ones pass through the fewest joins.
+    for s, wanted in sorted(items.items(), key=lambda kv: len(kv[1])):
+        key = key_of[s]
+        col = key.replace("_key_", "_values_")
         names = F.array(*[F.lit(i) for i in wanted])
-        df = df.withColumn(col, _pick(names, col))
-        added.append(col)
-    return df, added
+        part = lookup.filter(F.col("set") == set_name(s)).select(
+            _flat_key([F.get("keys", F.lit(i)) for i in range(len(s))]).alias(key),
+            _pick(names, "values").alias(col),
+        )
+        cells = groups.get(set_name(s), 0) * (len(wanted) + 1)
+        out = attach(out, part, [key], "left", salt_on, cells=cells)
+        filled[col] = F.coalesce(F.col(col), F.array_repeat(F.lit(None).cast("double"), len(wanted)))
+    return out.drop(*key_of.values()).withColumns(filled), [f"_values_{at}" for at in range(len(items))]
+
+
+def _flat_key(parts: list[Column]) -> Column:
+    """One string per key; the length of the first part keeps ('a', 'bc') and ('ab', 'c') apart."""
+    if len(parts) == 1:
+        return parts[0]
+    return F.concat(F.length(parts[0]).cast("string"), F.lit("|"), *parts)
 
 
 def _pick(names: Column, values: str) -> Column:
