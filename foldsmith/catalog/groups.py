@@ -156,7 +156,7 @@ def odds_attach(spark: SparkSession, sf: str) -> DataFrame:
     """Odds fitted on labelled documents, attached to every document."""
     from foldsmith.catalog.views import doc_features
 
-    fitted = materialise(odds.fit_odds(_classed_docs(spark, sf), LABEL_CLASS, DOC_CLASSES, FLAG_SETS), "odds")
+    fitted = odds.fit_odds(_classed_docs(spark, sf), LABEL_CLASS, DOC_CLASSES, FLAG_SETS)
     out = odds.attach_odds(doc_features(spark, sf), fitted, FLAG_SETS, DOC_CLASSES, ["doc_id"])
     names = [odds.odds_name(s, c) for s in FLAG_SETS for c in DOC_CLASSES]
     return out.select("doc_id", *[F.round(n, 6).alias(n) for n in names])
@@ -176,7 +176,7 @@ def stats_single(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stats_pair", sql_with("v_orders") + _sql_stats("v_orders", ORDER_PAIRS, NUMS))
 def stats_pair(spark: SparkSession, sf: str) -> DataFrame:
-    df = v_orders(spark, sf)
+    df = materialise(v_orders(spark, sf).select(*CATS, *NUMS), "orders")
     fitted = groupstats.fit_group_stats(df, groupstats.pair_sets(CATS), NUMS)
     return _flat(fitted, "num", "n", *STATS)
 
@@ -202,7 +202,7 @@ def _sql_stats_attach() -> str:
 def stats_attach(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics joined back to the rows; rows with a null category keep nulls."""
     df = materialise(v_orders(spark, sf).select(KEY, *CATS, *ATTACHED_NUMS), "orders")
-    fitted = materialise(groupstats.fit_group_stats(df, ATTACHED_SETS, ATTACHED_NUMS), "stats")
+    fitted = groupstats.fit_group_stats(df, ATTACHED_SETS, ATTACHED_NUMS)
     out = groupstats.attach_group_stats(df, fitted, ATTACHED_SETS, ATTACHED_NUMS, salt_on=[KEY])
     shown = [
         F.round(groupstats.stat_name(s, x, f), _digits(x)).alias(groupstats.stat_name(s, x, f))

@@ -11,10 +11,13 @@ from foldsmith.operators.keysets import (
     GROUP,
     KeySet,
     attach_set,
+    attach_values,
     explode_sets,
     grouping_sets_agg,
     named_groups,
     numbered_groups,
+    spread_values,
+    value_lookup,
 )
 from foldsmith.operators.medians import DIRECT_ROWS, fits_direct, grouped_medians
 from foldsmith.scratch import attach, materialise
@@ -227,33 +230,19 @@ def stat_name(s: KeySet, num: str, stat: str, normalised: bool = False) -> str:
 
 
 def stat_names(sets: list[KeySet], nums: list[str], normalised: bool = False) -> list[str]:
-    """Names in the order :func:`attach_stat_arrays` lays the values out."""
     return [stat_name(s, n, f, normalised) for s in sets for n in nums for f in STATS]
 
 
-def _stat_arrays(artifact: DataFrame, s: KeySet, nums: list[str], out: str) -> DataFrame:
-    """One array per group of the set: the statistics of each number in order."""
-    by_num = artifact.filter(F.col("set") == set_name(s)).groupBy("keys").agg(
-        F.map_from_entries(F.collect_list(F.struct("num", F.array(*STATS)))).alias("_m")
+def stat_items(artifact: DataFrame, normalised: bool = False) -> DataFrame:
+    """(set, keys, item, value) for a lookup, items named like the columns they become."""
+    middle = [F.lit("normalized")] if normalised else []
+    each = F.array(
+        *[
+            F.struct(F.concat_ws("_", "set", "num", *middle, F.lit(f)).alias("item"), F.col(f).alias("value"))
+            for f in STATS
+        ]
     )
-    return by_num.select("keys", F.flatten(F.array(*[F.col("_m")[n] for n in nums])).alias(out))
-
-
-def attach_stat_arrays(
-    df: DataFrame,
-    artifact: DataFrame,
-    sets: list[KeySet],
-    nums: list[str],
-    prefix: str,
-    salt_on: list[str] | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Add one array column per set; returns the table and the array columns' names."""
-    added = []
-    for s in sets:
-        col = f"{prefix}{set_name(s)}"
-        df = attach_set(df, _stat_arrays(artifact, s, nums, col), s, salt_on)
-        added.append(col)
-    return df, added
+    return artifact.select("set", "keys", F.inline(each))
 
 
 def attach_group_stats(
@@ -265,11 +254,7 @@ def attach_group_stats(
     salt_on: list[str] | None = None,
 ) -> DataFrame:
     """Add ``<set>_<num>_<stat>`` columns; rows with a null or unseen key get nulls."""
-    df, arrays = attach_stat_arrays(df, artifact, sets, nums, "_stats_", salt_on)
-    cols = {
-        stat_name(s, n, f, normalised): F.get(F.col(a), F.lit(i * len(STATS) + j))
-        for s, a in zip(sets, arrays)
-        for i, n in enumerate(nums)
-        for j, f in enumerate(STATS)
-    }
-    return df.withColumns(cols).drop(*arrays)
+    lookup = materialise(value_lookup([stat_items(artifact, normalised)]), "stats-lookup")
+    items = {s: stat_names([s], nums, normalised) for s in sets}
+    out, arrays = attach_values(df, lookup, items, salt_on)
+    return spread_values(out, arrays, items)

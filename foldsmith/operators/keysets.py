@@ -130,6 +130,14 @@ def attach_values(
     return out.drop(*key_of.values()).withColumns(filled), [f"_values_{at}" for at in range(len(items))]
 
 
+def spread_values(df: DataFrame, arrays: list[str], items: dict[KeySet, list[str]]) -> DataFrame:
+    """Arrays of :func:`attach_values` as one column per item."""
+    cols = {
+        name: F.get(F.col(a), F.lit(i)) for a, names in zip(arrays, items.values()) for i, name in enumerate(names)
+    }
+    return df.withColumns(cols).drop(*arrays)
+
+
 def _flat_key(parts: list[Column]) -> Column:
     """One string per key; the length of the first part keeps ('a', 'bc') and ('ab', 'c') apart."""
     if len(parts) == 1:
