@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions import expressions as E
@@ -33,10 +33,15 @@ def class_onehot(df: DataFrame, label: str, classes: tuple[str, ...]) -> DataFra
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balancing weight n / (k * n_class) for each class present."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    # The window sees one row per class, however large ``df`` is.
-    every = Window.partitionBy(F.lit(1))
-    total, k = F.sum("n").over(every), F.count("*").over(every)
-    return counts.select(label, "n", F.try_divide(total.cast("double"), k * F.col("n")).alias("weight"))
+    # One entry per class from here on, however large ``df`` is.
+    every = counts.agg(F.collect_list(F.struct(label, "n")).alias("each"), F.sum("n").alias("total"))
+    share = F.col("total").cast("double")
+
+    def weighted(c: Column) -> Column:
+        weight = F.try_divide(share, F.size("each") * c["n"])
+        return F.struct(c[label].alias(label), c["n"].alias("n"), weight.alias("weight"))
+
+    return every.select(F.inline(F.transform("each", weighted)))
 
 
 def label_summary(labels: DataFrame, roles: Roles, n_features: int) -> DataFrame:
