@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldsmith.catalog.registry import query
 from foldsmith.catalog.rows import SQL_CLASS, sql_hash32
 from foldsmith.catalog.views import DOC_ROLES, ORDER_ROLES, sql_with, v_docs, v_orders
-from foldsmith.functions.names import penalty
+from foldsmith.functions.names import pair_column, penalty
 from foldsmith.operators import auc, combine, labels, selection, splits
 from foldsmith.roles import LABEL_CLASS
 from foldsmith.scratch import materialise
@@ -18,7 +18,7 @@ from foldsmith.scratch import materialise
 KEY = ORDER_ROLES.key
 FOLDS, REPEATS, PROBES = 5, 2, 10
 PRIORITIES, SEGMENTS = ("1-URGENT", "5-LOW"), ("BUILDING", "MACHINERY")
-PAIR_CLIPPED = {n: c for n, c in combine.pair_columns(ORDER_ROLES.binary).items() if n.endswith("_comb")}
+PAIR_CLIPPED = [f"{pair_column(a, b)}_comb" for a, b in combinations(ORDER_ROLES.binary, 2)]
 DUMMIES = {
     **{f"o_orderpriority_is_{v[0]}": ("o_orderpriority", v) for v in PRIORITIES},
     **{f"c_mktsegment_is_{v.lower()}": ("c_mktsegment", v) for v in SEGMENTS},
@@ -80,7 +80,8 @@ SQL_CUT = (
 def _selection_rows(spark: SparkSession, sf: str) -> DataFrame:
     df = v_orders(spark, sf).filter(F.col("returned").isNotNull())
     df = splits.holdout(df, KEY).filter(F.col(splits.SPLIT) == "train")
-    cols = {**PAIR_CLIPPED}
+    pairs = combine.pair_columns(ORDER_ROLES.binary)
+    cols = {n: pairs[n] for n in PAIR_CLIPPED}
     for n, (c, v) in DUMMIES.items():
         cols[n] = (F.col(c) == v).cast("double")
     for n, (p, s) in CROSSED.items():

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from foldsmith.functions import names
 from foldsmith.operators.combine import combination_names
+from foldsmith.plans.factory import FactorySpec, layout
 from foldsmith.roles import survey_roles
 
 
@@ -12,9 +13,7 @@ def test_legacy_counts_for_thirteen_flags_and_twelve_categories():
     assert len(names.flag_pairs(13, "legacy")) == 66
     triples = names.flag_triples(13, "legacy")
     assert len(triples) == 177
-    assert len({frozenset(t) if len(set(t)) == 3 else t for t in triples if len(set(t)) == 3}) + sum(
-        1 for t in triples if len(set(t)) < 3
-    ) <= 177
+    assert len({frozenset(t) for t in triples if len(set(t)) == 3}) == 101
     assert sum(1 for a, _, c in triples if a == c) == 21
     assert len(names.category_pairs(12, "legacy")) == 45
     assert len(names.odds_pairs(12, 13, "legacy")) == 210
@@ -33,6 +32,19 @@ def test_survey_combinations():
     assert sum(1 for _, kind in made if kind == "comb") == 1128
 
 
+def test_survey_layout(spark):
+    roles = survey_roles()
+    whole = spark.createDataFrame([(c, 0) for c in roles.inputs], "column string, nulls bigint")
+    lay = layout(roles, FactorySpec(mode="legacy"), ("N", "Y"), whole)
+    assert len(lay.stat_sets) == 12 + 45 and len(lay.odds_sets) == 12 + 210
+    assert len(lay.numbers) == 11 and len(lay.comb_numbers) == 100
+    assert [n.count("_or_") for n in lay.comb_numbers] == [1] * 66 + [2] * 34
+    names = [n for _, n, _, _ in lay.dictionary()]
+    assert len(names) == len(set(names))
+    n = 111
+    assert sum(k.startswith("stat") for _, _, k, _ in lay.dictionary()) == 48 * n + 180 * n + 48 * n
+
+
 @given(st.integers(2, 20))
 def test_legacy_is_part_of_all_pairs(n):
     assert set(names.flag_pairs(n, "legacy")) <= set(combinations(range(n), 2))
