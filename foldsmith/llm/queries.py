@@ -4,10 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldsmith.llm import neardup
+from foldsmith.llm import neardup, quality
 from foldsmith.llm.catalog import query, table
 
 
 @query("op1_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_quality_rules",
+    r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM docs),
+pos AS (SELECT r, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i FROM (
+  SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM pos) WHERE n > 1),
+reps AS (SELECT r, count(*) AS n FROM (
+  SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r),
+lines AS (
+  SELECT r, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
+  FROM (SELECT r, unnest(l) AS x FROM words)),
+judged AS (
+  SELECT r, n, len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.3 * n
+    OR NOT regexp_matches(x, '[.!?…。！？]')
+    OR (len(regexp_replace(x, '[^|>»·•]', '', 'g')) >= 3 AND len(regexp_replace(x, '[^|>»·•]', '', 'g')) * 4 >= n)
+    OR regexp_matches(lower(x), 'all rights reserved|licensed under|released under the|privacy policy|terms of service|terms of use|cookie policy|accept cookies|click here|sign up for|subscribe to our|enable javascript|skip to content') AS bad
+  FROM lines),
+lost AS (SELECT r, sum(CASE WHEN bad THEN n ELSE 0 END) AS n_lost FROM judged GROUP BY r),
+counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_lost, 0) AS BIGINT) AS n_lost
+  FROM words LEFT JOIN reps USING (r) LEFT JOIN lost USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_lost <= 50 * n_words AS kept
+FROM counted
+""",
+)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost", "base_failed", "kept"]
+    return found.select("row.doc_id", *[f"quality.{f}" for f in fields])
