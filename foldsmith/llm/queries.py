@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldsmith.llm import neardup, quality
+from foldsmith.llm import neardup, quality, substrings
 from foldsmith.llm.catalog import query, table
 
 
@@ -53,3 +53,30 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost", "base_failed", "kept"]
     return found.select("row.doc_id", *[f"quality.{f}" for f in fields])
+
+
+@query(
+    "op5_substring_dedup",
+    r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+starts AS (
+  SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM again) GROUP BY r),
+words AS (SELECT r, i, w[i] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+removed AS (SELECT DISTINCT r, unnest(js) AS i FROM gone),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM words ANTI JOIN removed USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+""",
+)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
