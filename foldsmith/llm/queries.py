@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldsmith.llm import neardup, quality, substrings
+from foldsmith.llm import mixing, neardup, quality, secrets, sharding, substrings
 from foldsmith.llm.catalog import query, table
+from foldsmith.scratch import fresh_path
 
 
 @query("op1_minhash_near_dedup")
@@ -80,3 +82,70 @@ FROM docs LEFT JOIN kept USING (r)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _counter(order: int):
+    return lambda n, s: n + (s["order"] == order).cast("long")
+
+
+@query("op6_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["order"] < len(secrets.BASE))
+    counts = [
+        F.aggregate("found", F.lit(0).cast("long"), _counter(i)).alias(f"n_{rule.kind}")
+        for i, rule in enumerate(secrets.BASE)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans")
+    )
+
+
+@query(
+    "op2_source_mix",
+    r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS h
+  FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source),
+weighted AS (SELECT *, CASE place % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS w FROM sources),
+ordered AS (SELECT *, row_number() OVER (ORDER BY 2.0 * s / w, place) AS o FROM weighted),
+levels AS (
+  SELECT o, (SELECT 1.5 * sum(s) FROM ordered) - coalesce(sum(2 * s) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+    sum(w) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, s, w
+  FROM ordered),
+cut AS (SELECT min(o) AS o FROM levels WHERE 2 * s * w_left > left_over * w),
+level AS (SELECT levels.left_over, levels.w_left, o FROM levels JOIN cut USING (o)),
+targets AS (
+  SELECT a.source, a.s, CASE WHEN a.o < coalesce(l.o, 1e9) THEN 2.0 * a.s ELSE CAST(l.left_over AS DOUBLE) * a.w / l.w_left END AS target
+  FROM ordered a LEFT JOIN level l ON true),
+plans AS (
+  SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS whole FROM targets),
+filled AS (
+  SELECT d.*, p.s, p.target, p.whole, p.target - p.whole * p.s AS need,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, r) AS through
+  FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, s AS source_size, target,
+  CAST(size * (whole + CASE WHEN through <= need OR (need >= through - size AND 2 * (need - (through - size)) >= size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM filled
+""",
+)
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op3_shards")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.shard(table(spark, sf_dir, "documents"), 40, fresh_path(spark, "shards"))
+    return stored.select(
+        "doc_id",
+        sharding.size_of("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
