@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsmith.llm import mixing, neardup, quality, secrets, sharding, substrings
+from foldsmith.llm import decontaminate, mixing, neardup, quality, secrets, sharding, substrings
 from foldsmith.llm.catalog import query, table
 from foldsmith.scratch import fresh_path
 
@@ -149,3 +149,8 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op4_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
