@@ -114,6 +114,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct(plain))).cast("long").alias("n_dup_lines"),
         _covered(F.col("_at")).cast("long").alias("n_repeat_words"),
         lost.cast("long").alias("n_lost"),
+        # Not deterministic to the optimizer, so that no filter on a verdict is pushed into the expressions above,
+        # where it would be worked out anew for every word.
+        F.spark_partition_id().alias("part"),
     )
     out = out.select("row", counts.alias("_counts"), cleaned.alias("cleaned"))
     q = F.col("_counts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsmith.llm import decontaminate, mixing, neardup, quality, secrets, sharding, substrings
+from foldsmith.llm import decontaminate, lines, mixing, neardup, quality, secrets, sharding, substrings, toxicity, urls
 from foldsmith.llm.catalog import query, table
 from foldsmith.scratch import fresh_path
 
@@ -154,3 +154,37 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_line_chunk_dedup")
+def line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op10_url_filter",
+    r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT r, h || p AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY len(h || p) DESC) AS n
+  FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
+""",
+)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(urls.RULES), "verdict string, host string, path string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
