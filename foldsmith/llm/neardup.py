@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm.circulant import band_keys, signature
 from foldsmith.llm.components import connected_components
+from foldsmith.llm.tables import look_up
 from foldsmith.llm.words import Words, long_lists, mix, shingle_sets, text_blocks
 from foldsmith.scratch import attach, materialise
 
@@ -74,12 +75,18 @@ def _near(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (apart <= SKETCH_LIMIT)
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored (node, shingles) of the given nodes."""
+    wanted = attach(docs, materialise(nodes.distinct(), "nodes"), [key], how="left_semi")
+    sets = wanted.distinct().mapInArrow(lambda it: _sets(it, key, text), "node long, shingles array<long>")
+    return materialise(sets, "sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (u, v) whose full shingle sets reach the limit."""
     pairs = materialise(pairs.filter("u <> v").distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = attach(docs, materialise(nodes, "nodes"), ["node"], how="left_semi")
-    sets = materialise(wanted.distinct().mapInArrow(lambda it: _sets(it, "node", text), "node long, shingles array<long>"), "sets")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    sets = _sets_of(docs, nodes, key, text)
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = pairs.join(right, "v").join(left, "u")
@@ -95,9 +102,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``component_id`` is the least key reachable over links and ``kept`` marks the row that has it.
 
     Equal sets form one class, whatever their number, and only classes go on. In every band bucket each
-    class is compared with the least one; once these links have been followed, classes of a bucket that are
-    still in different components are compared with each other, the largest component being only one of
-    the sides. Sizes and a 256-bit sketch rule pairs out in the join; full sets confirm the others.
+    class is compared with the least one. Classes of a bucket that are still in different components after
+    that are compared with each other where they share a rare shingle, as all pairs at the limit do; the
+    largest component is only one of the sides. Sizes and a 256-bit sketch rule pairs out in the join, full
+    sets confirm the others.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows come back as often as given.
     Rows that share a key count as one linked document. A row with a null key cannot be named: it has a null
@@ -131,8 +139,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = _verified(star.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), slim, "node", "text")
     groups = materialise(connected_components(links), "groups")
 
-    rest = _open_pairs(buckets, groups)
-    more = _verified(rest, slim, "node", "text")
+    rest = _open_buckets(buckets, groups).select("node", "n", *SKETCH).distinct()
+    rare = _rare_buckets(materialise(rest, "open-nodes"), slim, "node", "text")
+    more = _verified(_open_pairs(_open_buckets(rare, groups)), slim, "node", "text")
     if more.limit(1).count():
         groups = materialise(connected_components(links.union(more)), "groups")
 
@@ -148,25 +157,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def _open_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components; one side is outside the bucket's largest one."""
+def _open_buckets(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with ``component`` and the bucket's largest, ``top``."""
     placed = attach(buckets, groups, ["node"], salt_on=["band"])
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count("*").alias("parts"))
-    largest = largest.filter("parts > 1").drop("parts")
-    placed = materialise(placed.join(largest, "band").distinct(), "open-buckets")
+    # The larger size wins, then the larger component.
+    most = sizes.groupBy("band").agg(F.max("size").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
+    largest = sizes.join(most, ["band", "size"]).groupBy("band").agg(F.max("component").alias("top"))
+    return placed.join(materialise(largest, "largest"), "band").distinct()
+
+
+def _rare_buckets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Buckets of the nodes that share one of their rarest shingles.
+
+    Two sets of similarity 0.75 overlap so much that, in any common order, they share a member among the first
+    n - ceil(0.75 n) + 1 of each. With the rarest first, what very many documents share brings none together.
+    """
+    sets = _sets_of(docs, nodes.select("node"), key, text)
+    listed = materialise(sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("band")), "listed")
+    common = listed.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1")
+    counted = listed.join(materialise(common, "shingle-counts"), "band", "left")
+    ordered = counted.groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "band"))).alias("order")
+    )
+    n = F.size("order")
+    first = F.slice("order", F.lit(1), n - F.ceil(n * F.lit(SIMILARITY) / 100).cast("int") + 1)
+    placed = F.transform(first, lambda x, i: F.struct(x["df"].alias("df"), x["band"].alias("band"), i.cast("long").alias("pos")))
+    rare = ordered.select("node", "n", F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("x"))
+    rare = rare.select("node", "n", "x.band", "x.pos")
+    return materialise(rare.join(nodes, ["node", "n"]), "rare-shingles")
+
+
+def _open_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of a rare-shingle bucket in different components; one side is outside the bucket's largest one."""
+    placed = materialise(placed, "open-buckets")
     # Sizes within the limit fall into the same or neighbouring classes of a factor 4/3.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILARITY)) + 1e-9).cast("int")
     small = placed.filter("component <> top").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
     large = placed.withColumn("step", step)
     a, b = small.alias("a"), large.alias("b")
+    # What can be common from the first shared shingle on must reach the overlap that the limit asks for.
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     on = (
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.step") == F.col("b.step"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
-        & (F.col("b.node") != F.col("b.least"))
+        & ((100 + SIMILARITY) * left >= SIMILARITY * (F.col("a.n") + F.col("b.n")))
         & _near("a", "b")
     )
     return a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
@@ -175,13 +213,18 @@ def _open_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least key.
 
-    Rows with a null key, and rows without words, stay. Of rows that repeat key and text one stays.
+    Rows with a null key, and rows without words, stay. Of rows that repeat a key one stays, that of the least text.
     """
-    found = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_gone")).distinct()
-    gone = materialise(found, "near-duplicates")
-    marked = docs.withColumn("_gone", F.col(key).cast("long"))
-    kept = attach(marked, gone, ["_gone"], how="left_anti", salt_on=[key]).drop("_gone")
-    names = docs.columns
-    bare = kept.filter(F.col(key).isNull() | ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    worded = kept.filter(F.col(key).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return bare.union(worded.dropDuplicates([key])).select(names)
+    found = materialise(near_duplicates(docs, key, text).withColumnRenamed(key, "key"), "near-duplicates")
+    named = found.filter("key is not null and n_shingles > 0").groupBy("key")
+    marks = named.agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+    marks = materialise(marks.select("key", F.when(F.col("kept"), 2).otherwise(1).alias("mark")), "near-duplicate-marks")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    worded = F.col("key").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = look_up(rows, marks, ["key"]).withColumn("mark", F.when(worded, F.col("mark")))
+    out = marked.filter("mark is null").select("row")
+    if marks.filter("mark = 2").limit(1).count():
+        repeated = marked.filter("mark = 2").groupBy("key").agg(F.min_by("row", "text").alias("row"))
+        out = out.union(repeated.select("row"))
+    return out.select("row.*")
