@@ -47,9 +47,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
             F.sum(F.when(full, limit).otherwise(0)).alias("taken"),
             F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("free"),
         ).first()
-        if free is not None and row["n"] == capped:
+        n = row["n"] or 0
+        if free is not None and n == capped:
             break
-        capped, left, free = row["n"] or 0, budget - (row["taken"] or 0), row["free"] or 0
+        capped, left, free = n, budget - (row["taken"] or 0), row["free"] or 0
     target = F.when(full, limit.cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(free or 1))
     return weighted.select("source", "source_size", target.alias("target"))
 
