@@ -267,7 +267,7 @@ def outlier_flag(spark: SparkSession, sf: str) -> DataFrame:
 def outlier_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Rows left, and their sum, once each category's outliers are out."""
     df = lines(spark, sf)
-    bounds = groupstats.fit_bounds(df, LINE_SINGLE, LINE_NUMS)
+    bounds = materialise(groupstats.fit_bounds(df, LINE_SINGLE, LINE_NUMS), "bounds")
     kept = groupstats.kept_rows(df, bounds, LINE_SINGLE, LINE_NUMS)
     per = kept.groupBy("set", "keys", "num").agg(F.count("*").alias("kept"), F.round(F.sum("value"), 2).alias("total"))
     return per.select("set", F.get("keys", F.lit(0)).alias("k1"), "num", "kept", "total")

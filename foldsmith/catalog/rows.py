@@ -150,7 +150,7 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sample_debug",
-    f"SELECT o_orderkey, o_totalprice FROM orders WHERE {sql_hash32(chr(39) + '1' + chr(39), 'o_orderkey::VARCHAR')} % 1000 < 100",
+    f"SELECT o_orderkey, o_totalprice FROM orders WHERE {sql_hash32(chr(39) + '1' + chr(39), 'o_orderkey::VARCHAR')} % 1000000 < 100000",
 )
 def sample_debug(spark: SparkSession, sf: str) -> DataFrame:
     return splits.sample(table(spark, sf, "orders"), KEY).select(KEY, "o_totalprice")
@@ -158,7 +158,7 @@ def sample_debug(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "split_holdout",
-    f"""SELECT o_orderkey, CASE WHEN {sql_hash32("'100'", "o_orderkey::VARCHAR")} % 1000 < 200
+    f"""SELECT o_orderkey, CASE WHEN {sql_hash32("'100'", "o_orderkey::VARCHAR")} % 1000000 < 200000
                THEN 'holdout' ELSE 'train' END AS split FROM orders""",
 )
 def split_holdout(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,7 +322,8 @@ def _sql_index(c: str) -> str:
 )
 def index_categories(spark: SparkSession, sf: str) -> DataFrame:
     df = v_orders(spark, sf).select(KEY, *INDEXED)
-    return encode.fit_indexer(df, list(INDEXED)).transform(df).select(KEY, *[encode.index_name(c) for c in INDEXED])
+    index = encode.fit_index(df, list(INDEXED))
+    return encode.with_index(df, index, list(INDEXED), [KEY]).select(KEY, *[encode.index_name(c) for c in INDEXED])
 
 
 # --- columns -------------------------------------------------------------------------------

@@ -45,7 +45,7 @@ def _features_sql() -> str:
     for r in range(REPEATS):
         cols.append(f"""CAST({sql_hash32("'100'", f"'{r}'", "o_orderkey::VARCHAR")} % {FOLDS} AS INT) AS fold_{r}""")
     return f"""SELECT o_orderkey, returned::DOUBLE AS y, {', '.join(cols)} FROM v_orders
-               WHERE returned IS NOT NULL AND {sql_hash32("'100'", "o_orderkey::VARCHAR")} % 1000 >= 200"""
+               WHERE returned IS NOT NULL AND {sql_hash32("'100'", "o_orderkey::VARCHAR")} % 1000000 >= 200000"""
 
 
 ALL_FEATURES = [*FEATURES, *splits.probe_names(PROBES)]

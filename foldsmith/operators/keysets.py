@@ -29,6 +29,8 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
     """
     if len({set_name(s) for s in sets}) < len(sets):
         raise ValueError("two group sets share a name; rename a column")
+    if len({frozenset(s) for s in sets}) < len(sets):
+        raise ValueError("two group sets have the same columns")
     cols = list(dict.fromkeys(c for s in sets for c in s))
     wide = df.groupingSets([list(s) for s in sets], *cols).agg(F.grouping_id().alias("_gid"), *aggs)
     width = len(cols)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foldsmith.functions import expressions as E
 
 SPLIT = "split"
-GRAIN = 1000
+# Shares are kept to one in a million.
+GRAIN = 1_000_000
 
 
 def sample(df: DataFrame, key: str, share: float = 0.1, seed: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
@@ -38,6 +39,17 @@ class Roles:
     def inputs(self) -> tuple[str, ...]:
         return (*self.binary, *self.numeric, *self.categorical)
 
+    @classmethod
+    def from_json(cls, path: str) -> "Roles":
+        """Roles from a JSON file whose keys are the fields of this class."""
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        for name in ("binary", "numeric", "categorical", "labels", "discard"):
+            given[name] = tuple(given.get(name, ()))
+        given["ordinal_levels"] = {k: tuple(v) for k, v in given.get("ordinal_levels", {}).items()}
+        given["penalties"] = tuple((tuple(parts), float(weight)) for parts, weight in given.get("penalties", ()))
+        return cls(**given)
+
     def with_(self, **changes) -> "Roles":
         return replace(self, **changes)
 
@@ -55,35 +67,3 @@ class Roles:
         for c in self.labels:
             st = st.add(c, T.IntegerType())
         return st
-
-
-def survey_roles() -> Roles:
-    """Roles of the vaccination survey."""
-    # Column names, category values and weights of the survey.
-    return Roles(
-        key="respondent_id",
-        binary=(
-            "behavioral_antiviral_meds", "behavioral_avoidance", "behavioral_face_mask",
-            "behavioral_wash_hands", "behavioral_large_gatherings", "behavioral_outside_home",
-            "behavioral_touch_face", "doctor_recc_h1n1", "doctor_recc_seasonal",
-            "chronic_med_condition", "child_under_6_months", "health_worker", "health_insurance",
-        ),
-        numeric=(
-            "h1n1_concern", "h1n1_knowledge", "opinion_h1n1_vacc_effective", "opinion_h1n1_risk",
-            "opinion_h1n1_sick_from_vacc", "opinion_seas_vacc_effective", "opinion_seas_risk",
-            "opinion_seas_sick_from_vacc",
-        ),
-        categorical=(
-            "age_group", "education", "race", "income_poverty", "marital_status", "rent_or_own",
-            "employment_status", "hhs_geo_region", "census_msa", "employment_industry",
-            "employment_occupation", "sex",
-        ),
-        labels=("h1n1_vaccine", "seasonal_vaccine"),
-        ordinal_levels={
-            "age_group": ("18 - 34 Years", "35 - 44 Years", "45 - 54 Years", "55 - 64 Years", "65+ Years"),
-            "education": ("< 12 Years", "12 Years", "Some College", "College Graduate"),
-            "income_poverty": ("Below Poverty", "<= $75,000, Above Poverty", "> $75,000"),
-        },
-        penalties=((("age_group", "census_msa"), 0.80), (("census_msa",), 0.90), (("age_group",), 0.90)),
-        discard=("age_group", "education", "income_poverty"),
-    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +31,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+# Paths stored inside each open ``short_lived`` block.
+_BLOCKS: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``keep`` leaves the table in place at the end of a ``short_lived`` block.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    if _BLOCKS and not keep:
+        _BLOCKS[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_lived(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables stored inside; nothing that is used later may read them."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _BLOCKS.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,

@@ -6,7 +6,18 @@ from hypothesis import strategies as st
 from foldsmith.functions import names
 from foldsmith.operators.combine import combination_names
 from foldsmith.plans.factory import FactorySpec, layout
-from foldsmith.roles import survey_roles
+from foldsmith.roles import Roles
+
+# As many flags, numbers and categories as the widest input the counts are known for.
+WIDE = Roles(
+    key="id",
+    binary=tuple(f"flag{i}" for i in range(13)),
+    numeric=tuple(f"num{i}" for i in range(8)),
+    categorical=tuple(f"cat{i}" for i in range(12)),
+    labels=("a", "b"),
+    ordinal_levels={f"cat{i}": ("low", "high") for i in range(3)},
+    penalties=((("cat0", "cat8"), 0.80), (("cat8",), 0.90), (("cat0",), 0.90)),
+)
 
 
 def test_legacy_counts_for_thirteen_flags_and_twelve_categories():
@@ -26,14 +37,14 @@ def test_all_counts():
     assert len(names.odds_pairs(12, 13)) == 222
 
 
-def test_survey_combinations():
-    made = combination_names(survey_roles().binary, "legacy")
+def test_wide_combinations():
+    made = combination_names(WIDE.binary, "legacy")
     assert len(made) == 2256
     assert sum(1 for _, kind in made if kind == "comb") == 1128
 
 
-def test_survey_layout(spark):
-    roles = survey_roles()
+def test_wide_layout(spark):
+    roles = WIDE
     whole = spark.createDataFrame([(c, 0) for c in roles.inputs], "column string, nulls bigint")
     lay = layout(roles, FactorySpec(mode="legacy"), ("N", "Y"), whole)
     assert len(lay.stat_sets) == 12 + 45 and len(lay.odds_sets) == 12 + 210
@@ -54,7 +65,7 @@ def test_names_and_penalties():
     forms = {f.name: f.column("a", "b", "c") for f in names.TRIPLE_FORMS}
     assert forms["ornot_ornot"] == "a_or_notb_or_notc"
     assert forms["and_ornot"] == "a_and_b_or_notc"
-    rules = survey_roles().penalties
-    assert names.penalty("age_group_census_msa_x", rules) == 0.80
-    assert names.penalty("census_msa_x", rules) == 0.90
-    assert names.penalty("sex", rules) == 1.0
+    rules = WIDE.penalties
+    assert names.penalty("cat0_cat8_x", rules) == 0.80
+    assert names.penalty("cat8_x", rules) == 0.90
+    assert names.penalty("num1", rules) == 1.0

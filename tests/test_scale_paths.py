@@ -62,3 +62,73 @@ def test_salted_join_equals_broadcast(spark):
         )
     beyond = attach(df, lookup, ["c"], "left", ["id"], max_cells=1)
     assert "_salt" in beyond._jdf.queryExecution().logical().toString()
+
+
+def test_category_of_five_thousand_values_is_used(spark):
+    """A category far beyond any histogram's bins drives the label, and the model finds it."""
+    from foldsmith.functions import expressions as E
+    from foldsmith.operators import encode, models
+
+    value = (F.col("id") % 5000).cast("string")
+    hit = (E.uniform(3, 1, value) > 0.5).cast("double")
+    rows = spark.range(40000).select("id", value.alias("c"), hit.alias("y"), E.uniform(4, 2, F.col("id")).alias("noise"))
+    rates = encode.fit_rates(rows, ["c"], [F.col("y")], "id")
+    coded = encode.with_rates(rows, rates, ["c"], 1, "id", F.lit(True))
+    ready = coded.select((F.col("y")).alias(models.TARGET), F.lit(1.0).alias(models.WEIGHT), "c_idx_0", F.array("noise").alias("x"))
+    ready = models.assemble(ready, "x", [0], ["c_idx_0"])
+    fit = models.classifier(models.ModelSpec(kind="forest", rounds=3, feature_share=1.0), 2).fit(ready)
+    assert fit.featureImportances.toArray()[0] > 0.9
+
+
+def test_codes_leave_out_the_own_label(spark):
+    """A value of its own for every row gets the overall share, not the row's label."""
+    from foldsmith.operators import encode
+
+    rows = spark.range(400).select("id", F.col("id").cast("string").alias("c"), (F.col("id") % 2).cast("double").alias("y"))
+    rates = encode.fit_rates(rows, ["c"], [F.col("y")], "id")
+    codes = encode.with_rates(rows, rates, ["c"], 1, "id", F.lit(True)).select("c_idx_0").distinct().collect()
+    assert [r[0] for r in codes] == [pytest.approx(0.5)]
+    seen = encode.with_rates(rows, rates, ["c"], 1, "id", F.lit(False)).agg(F.countDistinct("c_idx_0")).first()[0]
+    assert seen == 2
+
+
+def test_reversed_sets_and_equal_names_are_refused(spark):
+    from foldsmith.operators.keysets import grouping_sets_agg
+    from foldsmith.plans.factory import FactorySpec, layout
+    from foldsmith.plans.selector import SelectorSpec
+    from foldsmith.roles import Roles
+
+    with pytest.raises(ValueError):
+        grouping_sets_agg(skewed(spark, 10), [("c", "d"), ("d", "c")], [F.count("*").alias("n")])
+    roles = Roles(key="id", numeric=("x", "b_x"), categorical=("a", "b", "a_b"), labels=("p", "q"))
+    whole = spark.createDataFrame([(c, 0) for c in roles.inputs], "column string, nulls bigint")
+    with pytest.raises(ValueError):
+        layout(roles, FactorySpec(), ("N", "Y"), whole)
+    with pytest.raises(ValueError):
+        SelectorSpec(scorer="boosted")
+
+
+def test_three_classes_boosted(spark):
+    from foldsmith.functions import expressions as E
+    from foldsmith.operators import models
+
+    x = E.uniform(5, 1, F.col("id"))
+    label = F.when(x < 0.3, "H").when(x < 0.6, "HS").otherwise("S")
+    rows = models.assemble(spark.range(900).select("id", label.alias("k"), F.array(x).alias("x")), "x", [0], [])
+    spec = models.ModelSpec(kind="gbt", rounds=3, depth=2, min_rows=5, row_share=1.0, feature_share=1.0)
+    model = models.fit_classifier(rows, "k", ("H", "HS", "S"), spec)
+    p = models.class_probabilities(model.transform(rows), ("H", "HS", "S"))
+    out = model.transform(rows).select("k", *[v.alias(c) for c, v in p.items()]).collect()
+    assert all(abs(r["H"] + r["HS"] + r["S"] - 1) < 1e-9 for r in out)
+    assert sum(max(("H", "HS", "S"), key=lambda c: r[c]) == r["k"] for r in out) > 0.95 * len(out)
+
+
+def test_stale_stages_run_again(spark):
+    from foldsmith.scratch import fresh_path
+    from foldsmith.sources.stages import StageStore
+
+    root = fresh_path(spark, "stale")
+    steps = [("one", lambda t: {"one": spark.range(3)})]
+    assert StageStore(spark, root, "a").run(steps)[1] == ["one"]
+    assert StageStore(spark, root, "a").run(steps)[1] == []
+    assert StageStore(spark, root, "b").run(steps)[1] == ["one"]
