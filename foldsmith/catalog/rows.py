@@ -301,7 +301,7 @@ def log_shift(spark: SparkSession, sf: str) -> DataFrame:
     return v_orders(spark, sf).withColumns(cols).select(KEY, *cols)
 
 
-INDEXED = ("o_orderstatus", "o_orderpriority", "c_mktsegment", "segment_known")
+INDEXED = ORDER_ROLES.categorical
 
 
 def _sql_index(c: str) -> str:

@@ -12,11 +12,13 @@ from foldsmith.catalog.rows import SQL_CLASS, sql_hash32
 from foldsmith.catalog.views import DOC_ROLES, ORDER_ROLES, sql_with, v_docs, v_orders
 from foldsmith.functions.names import pair_column, penalty
 from foldsmith.operators import auc, combine, labels, selection, splits
+from foldsmith.plans import selector
+from foldsmith.plans.selector import SelectorSpec
 from foldsmith.roles import LABEL_CLASS
 from foldsmith.scratch import materialise
 
 KEY = ORDER_ROLES.key
-FOLDS, REPEATS, PROBES = 5, 2, 10
+FOLDS, REPEATS, PROBES = 5, 5, 10
 PRIORITIES, SEGMENTS = ("1-URGENT", "5-LOW"), ("BUILDING", "MACHINERY")
 PAIR_CLIPPED = [f"{pair_column(a, b)}_comb" for a, b in combinations(ORDER_ROLES.binary, 2)]
 DUMMIES = {
@@ -93,9 +95,9 @@ def _selection_rows(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(rows, "selection-rows")
 
 
-def importances(spark: SparkSession, sf: str) -> DataFrame:
+def importances(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     raw = selection.abs_corr_importances(
-        _selection_rows(spark, sf), "features", ALL_FEATURES, F.col("returned"), FOLDS, REPEATS,
+        _selection_rows(spark, sf) if rows is None else rows, "features", ALL_FEATURES, F.col("returned"), FOLDS, REPEATS,
         set(splits.probe_names(PROBES)),
     )
     return selection.penalise(raw, selection.penalties(spark, ALL_FEATURES, ORDER_ROLES.penalties))
@@ -124,6 +126,33 @@ def select_topk(spark: SparkSession, sf: str) -> DataFrame:
     return selection.top_k(selection.votes(importances(spark, sf)), TOP_K)
 
 
+DROP_CORR, CANDIDATES = 0.9, 20
+
+
+def _sql_selected() -> str:
+    """The most voted features less those that correlate with an earlier one, in the order of their votes."""
+    pairs = list(combinations(FEATURES, 2))
+    wide = ", ".join(f'corr(x."{a}", x."{b}") AS "{a}|{b}"' for a, b in pairs)
+    names = ", ".join(f'"{a}|{b}"' for a, b in pairs)
+    return f""", r AS (SELECT split_part(p, '|', 1) AS a, split_part(p, '|', 2) AS b, abs(r) AS r
+                       FROM (UNPIVOT (SELECT {wide} FROM x) ON {names} INTO NAME p VALUE r)),
+        best AS (SELECT feature, votes, row_number() OVER (ORDER BY votes DESC, feature) AS place FROM votes),
+        top AS (SELECT * FROM best WHERE place <= {CANDIDATES}),
+        gone AS (SELECT DISTINCT later.feature FROM top later JOIN top early ON early.place < later.place
+                 JOIN r ON r.r > {DROP_CORR} AND ((r.a = early.feature AND r.b = later.feature) OR (r.b = early.feature AND r.a = later.feature)))
+        SELECT CAST(row_number() OVER (ORDER BY place) AS INT) AS rank, feature, votes
+        FROM top WHERE feature NOT IN (SELECT feature FROM gone)"""
+
+
+@query("select_features", SQL_CUT + _sql_selected())
+def select_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The selector's own votes, top-k and correlation drop over the order features."""
+    rows = _selection_rows(spark, sf)
+    spec = SelectorSpec(scorer="abs_corr", top_k=CANDIDATES, drop_corr=DROP_CORR)
+    _, selected = selector.select(rows, importances(spark, sf, rows), list(enumerate(FEATURES)), spec)
+    return selected.select("rank", "feature", "votes")
+
+
 @query(
     "importance_topn",
     SQL_IMP

@@ -6,14 +6,18 @@ holds their values as strings in the order the set lists its columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions.names import set_name
-from foldsmith.scratch import attach
+from foldsmith.scratch import BROADCAST_CELLS, attach
 
 KeySet = tuple[str, ...]
 GROUP = ["set_id", "k1", "k2"]
+# Spark numbers grouping sets with one bit per column.
+MAX_COLUMNS = 60
 
 
 def keys_of(s: KeySet) -> Column:
@@ -32,6 +36,8 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
     if len({frozenset(s) for s in sets}) < len(sets):
         raise ValueError("two group sets have the same columns")
     cols = list(dict.fromkeys(c for s in sets for c in s))
+    if len(cols) > MAX_COLUMNS:
+        return reduce(DataFrame.unionByName, [grouping_sets_agg(df, part, aggs) for part in _chunks(sets)])
     wide = df.groupingSets([list(s) for s in sets], *cols).agg(F.grouping_id().alias("_gid"), *aggs)
     width = len(cols)
 
@@ -47,6 +53,16 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
     return out.filter(~F.exists("keys", lambda k: k.isNull())).drop("_gid", *cols)
 
 
+def _chunks(sets: list[KeySet]) -> list[list[KeySet]]:
+    """The sets in order, cut so that no part has more than MAX_COLUMNS distinct columns."""
+    parts: list[list[KeySet]] = [[]]
+    for s in sets:
+        if len({c for t in (*parts[-1], s) for c in t}) > MAX_COLUMNS:
+            parts.append([])
+        parts[-1].append(s)
+    return parts
+
+
 def explode_sets(df: DataFrame, sets: list[KeySet], keep: list[str | Column]) -> DataFrame:
     """One row per input row and set (null keys left out): the GROUP columns and the kept ones.
 
@@ -116,7 +132,7 @@ def attach_values(
     # All keys first and all null filling last: the joins then chain without steps between them.
     key_of = {s: f"_key_{at}" for at, s in enumerate(items)}
     out = df.withColumns({k: _flat_key([F.col(c).cast("string") for c in s]) for s, k in key_of.items()})
-    filled = {}
+    filled, sent = {}, 0
     # Short arrays first, so that the long ones pass through the fewest joins.
     for s, wanted in sorted(items.items(), key=lambda kv: len(kv[1])):
         key = key_of[s]
@@ -127,6 +143,10 @@ def attach_values(
             _pick(names, "values").alias(col),
         )
         cells = groups.get(set_name(s), 0) * (len(wanted) + 1)
+        # What one plan broadcasts is bounded in sum: the smallest sets first, the others are joined.
+        sent += cells
+        if sent > BROADCAST_CELLS:
+            cells = max(cells, BROADCAST_CELLS + 1)
         out = attach(out, part, [key], "left", salt_on, cells=cells)
         filled[col] = F.coalesce(F.col(col), F.array_repeat(F.lit(None).cast("double"), len(wanted)))
     return out.drop(*key_of.values()).withColumns(filled), [f"_values_{at}" for at in range(len(items))]

@@ -60,6 +60,16 @@ def short_lived(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _cells(lookup: DataFrame) -> int:
+    """Values in the table; a list or map has as many as entries."""
+    nested = [c for c, kind in lookup.dtypes if kind.startswith(("array", "map"))]
+    plain = len(lookup.columns) - len(nested)
+    each = F.lit(plain)
+    for c in nested:
+        each = each + F.coalesce(F.size(c), F.lit(0))
+    return lookup.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+
+
 def attach(
     df: DataFrame,
     lookup: DataFrame,
@@ -76,7 +86,7 @@ def attach(
     single task.
     """
     if cells is None:
-        cells = lookup.count() * len(lookup.columns)
+        cells = _cells(lookup)
     if cells <= max_cells:
         return df.join(F.broadcast(lookup), on, how)
     return salted_join(df, lookup, on, how, salt_on)
