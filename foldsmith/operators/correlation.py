@@ -23,11 +23,12 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def array_correlation(
-    df: DataFrame, column: str, order: list[int], rows: range | None = None, cols: range | None = None
+    df: DataFrame, column: str, order: list[int], rows: range | None = None, cols: range | None = None,
+    means: np.ndarray | None = None,
 ) -> DataFrame:
     """(i, j, n, r), i < j, where i and j count along ``order``, positions of an array<double> column.
 
-    ``rows`` and ``cols`` limit i and j to one block.
+    ``rows`` and ``cols`` limit i and j to one block; ``means`` holds the column means along ``order``, if known.
 
     Each task adds the moments of its own rows with matrix products and emits them once, one row
     per column pair; no row of ``df`` is shuffled. Values are shifted by the column means first so
@@ -37,7 +38,7 @@ def array_correlation(
     used = sorted({*rows, *cols})
     at = {k: n for n, k in enumerate(used)}
     x = df.select(E.pick(column, [order[k] for k in used]).alias("x"))
-    shift = array_means(x, "x", len(used))
+    shift = array_means(x, "x", len(used)) if means is None else means[used]
     left, right = np.array(rows), np.array(cols)
     li, ri = [at[k] for k in rows], [at[k] for k in cols]
     a, b = np.nonzero(left[:, None] < right[None, :])
@@ -80,10 +81,12 @@ def drop_positions(
     ``block`` x ``block`` matrices; only dropped positions reach the driver.
     """
     ranges = [range(s, min(s + block, len(order))) for s in range(0, len(order), block)]
+    # One scan for the means of all columns, then one per block pair.
+    means = array_means(df.select(E.pick(column, order).alias("x")), "x", len(order))
     gone: set[int] = set()
     for bi, rows in enumerate(ranges):
         for cols in ranges[bi:]:
-            hits = drop_list(array_correlation(df, column, order, rows, cols), threshold).collect()
+            hits = drop_list(array_correlation(df, column, order, rows, cols, means), threshold).collect()
             gone |= {order[r["j"]] for r in hits}
     return gone
 

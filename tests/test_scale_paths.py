@@ -132,3 +132,32 @@ def test_stale_stages_run_again(spark):
     assert StageStore(spark, root, "a").run(steps)[1] == ["one"]
     assert StageStore(spark, root, "a").run(steps)[1] == []
     assert StageStore(spark, root, "b").run(steps)[1] == ["one"]
+
+
+def test_correlation_blocks_scan_once_each(spark, monkeypatch):
+    """Three blocks give the same drops as one, with one scan for the means and one per block pair."""
+    from foldsmith.functions import expressions as E
+    from foldsmith.operators import correlation
+
+    cols = [E.uniform(6, i, F.col("id")) for i in range(5)]
+    rows = spark.range(300).select(F.array(*cols, cols[0] * 2 + 1, cols[3] * -1).alias("x"))
+    scans = []
+    for name in ("array_means", "array_correlation"):
+        kept = getattr(correlation, name)
+        monkeypatch.setattr(correlation, name, lambda *a, kept=kept, name=name, **k: scans.append(name) or kept(*a, **k))
+    order = [6, 5, 4, 3, 2, 1, 0]
+    assert correlation.drop_positions(rows, "x", order, 0.9, block=3) == {3, 0}
+    assert scans.count("array_means") == 1 and scans.count("array_correlation") == 6
+    assert correlation.drop_positions(rows, "x", order, 0.9) == {3, 0}
+
+
+def test_short_lived_tables_go(spark):
+    import os
+
+    from foldsmith.scratch import materialise, short_lived
+
+    with short_lived(spark):
+        gone = materialise(spark.range(3), "gone")
+        kept = materialise(gone.filter("id > 0"), "kept", keep=True)
+    assert kept.count() == 2
+    assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
