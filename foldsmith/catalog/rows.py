@@ -18,7 +18,6 @@ from foldsmith.catalog.views import (
     v_docs,
     v_orders,
 )
-from foldsmith.functions import expressions as E
 from foldsmith.functions.names import TRIPLE_FORMS
 from foldsmith.operators import columns, combine, encode, labels, splits
 from foldsmith.roles import LABEL_ANY, LABEL_CLASS
