@@ -5,14 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.llm.substrings import KEY, LIST_CELLS
 from foldsmith.llm.words import text_blocks
-from foldsmith.scratch import materialise
+from foldsmith.scratch import materialise, short_lived
 
 # A chunk ends after a line at which the rolling hash over the last ROLL lines is 0 modulo DIVISOR.
 ROLL, DIVISOR = 2, 3
@@ -136,6 +135,16 @@ def remove_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("node"), F.xxhash64(body).alias("digest"), body.alias("text"))
+    with short_lived(docs.sparkSession):
+        gone = materialise(_repeats(texts), "repeated", keep=True)
+    out = _with_starts(texts, gone, "left").mapInArrow(
+        _cleaned, "node long, n_lines long, n_removed long, n_chunks long, kept_text string"
+    )
+    return out.withColumnRenamed("node", key)
+
+
+def _repeats(texts: DataFrame) -> DataFrame:
+    """(node, digest, start) of the chunks to remove."""
     chunks = materialise(
         texts.mapInArrow(_chunk_rows, "node long, digest long, start long, code long"), "chunks"
     ).distinct()
@@ -152,8 +161,4 @@ def remove_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "te
     repeated = first.select("code", "chunk").join(found, ["code", "chunk"]).select(*KEY, "start")
     heads = materialise(heads, "heads").withColumnsRenamed({"node": "_node", "digest": "_digest", "start": "_start"})
     same = F.col("node").eqNullSafe(F.col("_node")) & (F.col("digest") == F.col("_digest")) & (F.col("start") == F.col("_start"))
-    gone = repeated.join(heads, same, "left_anti")
-    out = _with_starts(texts, gone, "left").mapInArrow(
-        _cleaned, "node long, n_lines long, n_removed long, n_chunks long, kept_text string"
-    )
-    return out.withColumnRenamed("node", key)
+    return repeated.join(heads, same, "left_anti")

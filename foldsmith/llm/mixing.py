@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldsmith.llm.quality import word_array
-from foldsmith.llm.tables import look_up
 from foldsmith.scratch import materialise
 
 WEIGHTS = (3, 1, 2)

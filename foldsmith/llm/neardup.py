@@ -14,7 +14,7 @@ from foldsmith.llm.circulant import band_keys, signature
 from foldsmith.llm.components import connected_components
 from foldsmith.llm.tables import look_up
 from foldsmith.llm.words import Words, long_lists, mix, shingle_sets, text_blocks
-from foldsmith.scratch import attach, materialise
+from foldsmith.scratch import attach, materialise, short_lived
 
 SHINGLE_WORDS = 5
 SIMILARITY = 75
@@ -215,10 +215,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows with a null key, and rows without words, stay. Of rows that repeat a key one stays, that of the least text.
     """
-    found = materialise(near_duplicates(docs, key, text).withColumnRenamed(key, "key"), "near-duplicates")
-    named = found.filter("key is not null and n_shingles > 0").groupBy("key")
-    marks = named.agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
-    marks = materialise(marks.select("key", F.when(F.col("kept"), 2).otherwise(1).alias("mark")), "near-duplicate-marks")
+    with short_lived(docs.sparkSession):
+        found = near_duplicates(docs, key, text).withColumnRenamed(key, "key")
+        named = found.filter("key is not null and n_shingles > 0").groupBy("key")
+        marks = named.agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+        marks = marks.select("key", F.when(F.col("kept"), 2).otherwise(1).alias("mark"))
+        marks = materialise(marks, "near-duplicate-marks", keep=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     worded = F.col("key").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")

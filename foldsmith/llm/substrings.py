@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldsmith.llm.words import WORD_BASE, Words, mix, prefix_sums, range_hashes, text_blocks
-from foldsmith.scratch import materialise
+from foldsmith.scratch import materialise, short_lived
 
 WINDOW = 35
 GRAM = 10
@@ -234,7 +234,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("node"), F.xxhash64(body).alias("digest"), body.alias("text"))
-    spans = materialise(factors(texts, window), "factors")
+    with short_lived(docs.sparkSession):
+        spans = materialise(factors(texts, window), "factors", keep=True)
     out = _with_ranges(texts, spans, "left").mapInArrow(
         lambda it: _kept_rows(it, window),
         "node long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<long>",

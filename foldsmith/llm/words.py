@@ -1,7 +1,7 @@
 """Words of whole Arrow batches and their 64-bit hashes, by numpy inside the tasks.
 
 A word is a run of characters other than space and the controls 9 to 13. A batch of texts is worked off
-in blocks of a few megabytes; a longer text is a block of its own, so memory follows the longest text.
+in blocks of half a megabyte; a longer text is a block of its own, so memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 ODD = 0x9E3779B97F4A7C15
 
 
