@@ -158,7 +158,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_chunk_dedup")
 def line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    found = lines.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

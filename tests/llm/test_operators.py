@@ -326,6 +326,42 @@ def test_chunk_bounds_resist_shifts():
     assert len(plain & shifted) >= len(plain) - 6
 
 
+def passages_by_brute_force(docs):
+    """Kept text of each (id, text): of every two successive lines that occurred before without overlap, no line stays."""
+    seen, out = {}, {}
+    for d in sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0)):
+        parts = d[1].split("\n") if d[1] else []
+        full = [i for i, x in enumerate(parts) if x.strip()]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            first, stop = seen.setdefault("\n".join(parts[a : b + 1]), (d, b + 1))
+            if first != d or a >= stop:
+                gone.update(range(a, b + 1))
+        out[d] = "\n".join(x for i, x in enumerate(parts) if i not in gone)
+    return out
+
+
+def test_line_passages(spark):
+    """Passages of two and three lines at any place go, and runs of one line; every removed line stays elsewhere."""
+    rng = __import__("random").Random(6)
+    own = lambda n: [fixture.prose(rng, 7) for _ in range(n)]
+    passages = [own(n) for n in (2, 2, 2, 3, 3, 5, 9)] + [["very frequent line"] * 2]
+    data = []
+    for i in range(40):
+        a, b = rng.sample(passages, 2)
+        data.append((i, "\n".join(own(rng.randrange(1, 6)) + a + own(1) + b + own(rng.randrange(4)))))
+    data += [(50, None), (51, ""), (52, "one line only"), (53, "\n".join(["another frequent line"] * 9)), (54, "\n".join(["third"] * 3))]
+    data += [(60, "head\n\ntail\n" + own(1)[0]), (61, own(1)[0] + "\nhead\n\ntail"), (62, "head\n" + own(1)[0]), data[3], (None, data[5][1])]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = lines.remove_repeated_passages(table).collect()
+    want = passages_by_brute_force(data)
+    assert counted((r["doc_id"], r["kept_text"]) for r in got) == counted((d[0], want[d]) for d in data)
+    kept = {x for r in got for x in r["kept_text"].split("\n")}
+    assert kept >= {x for _, t in data for x in (t or "").split("\n") if x}
+    by_id = {r["doc_id"]: r["n_removed"] for r in got}
+    assert by_id[53] == 7 and by_id[54] == 0 and by_id[61] == 3 and by_id[62] == 0
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 
