@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates: questions are found again when their numbers, names and units changed.
 
 Words become template tokens: typed placeholders for numbers, names and units, else the word in lower case without
-punctuation around it. Windows of five tokens are joined by hash with those of the benchmark. Windows of one item
+punctuation around it. Windows of five tokens are joined by hash with those of the benchmark, by the template or by the
+words in lower case, so a name that is no name in a copy (other case, other line breaks) is found too. Windows of one item
 that lie equally far apart in the document form an alignment; it stands only if its slots are filled consistently,
 each value of the item having one value in the document and the other way round.
 """
@@ -89,12 +90,12 @@ def _codes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(range_hashes(sums, a, b, BYTE_BASE) + (b - a).astype(np.uint64)), a, b
 
 
-def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token values, the template hash of the window at each word, and the number of windows per text."""
+def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token values; of the window at each word the hash of its values, the template's, and whether that counts; windows per text."""
     values, a, b = _codes(words)
     data = words.data
     if not len(values):
-        return values, values, np.zeros(len(words.first) - 1, dtype=np.int64)
+        return values, values, values, np.zeros(0, dtype=bool), np.zeros(len(words.first) - 1, dtype=np.int64)
     within = lambda flags: np.concatenate([[0], np.cumsum(flags[data])])
     digits, numeric = within(_DIGIT), within(_NUMERIC)
     number_words, units = _known()
@@ -120,19 +121,25 @@ def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain = np.concatenate([[0], np.cumsum(~(number | unit | name))])
     loose = range_hashes(prefix_sums(tokens, WORD_BASE), starts, starts + WINDOW, WORD_BASE)
     exact = range_hashes(prefix_sums(values, WORD_BASE), starts, starts + WINDOW, WORD_BASE) + np.uint64(1)
-    enough = plain[starts + WINDOW] - plain[starts] >= LEAST_WORDS
-    return values, mix(np.where(enough, loose, exact)), np.maximum(np.diff(words.first) - WINDOW + 1, 0)
+    n_plain = plain[starts + WINDOW] - plain[starts]
+    templated = (n_plain >= LEAST_WORDS) & (n_plain < WINDOW)
+    return values, mix(exact), mix(loose), templated, np.maximum(np.diff(words.first) - WINDOW + 1, 0)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(node, digest, place, code, tokens) of the windows whose code may be wanted."""
+    """(node, digest, place, code, tokens) of the windows whose code may be wanted, a row for each of its codes."""
     for part, texts in text_blocks(batches, "text"):
         words = Words(texts)
-        values, codes, n = _templates(words)
+        values, exact, loose, templated, n = _templates(words)
         doc = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         at = place + words.first[doc]
-        code = codes[at] if len(at) else np.zeros(0, dtype=np.uint64)
+        code = exact[at] if len(at) else np.zeros(0, dtype=np.uint64)
+        if len(at):
+            # A window with filled slots has a second row, by its template.
+            also = np.flatnonzero(templated[at])
+            code = np.concatenate([code, loose[at[also]]])
+            doc, place, at = (np.concatenate([x, x[also]]) for x in (doc, place, at))
         if wanted is not None:
             low = (code & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
             keep = np.flatnonzero((wanted[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
@@ -170,7 +177,6 @@ def matches(texts: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
     asked = asked.filter("text is not null").groupBy("text").agg(F.min("node").alias("node"))
     asked = asked.select("node", F.xxhash64("text").alias("digest"), "text")
     items = materialise(asked.mapInArrow(lambda it: _window_rows(it, None), _ROWS), "item-windows")
-    sizes = items.groupBy("node", "digest").agg(F.count("*").alias("windows"))
     wanted = spark.sparkContext.broadcast(_wanted_bits(items))
     seen = materialise(texts.mapInArrow(lambda it: _window_rows(it, wanted.value), _ROWS), "seen-windows")
     theirs = items.select(
@@ -188,7 +194,7 @@ def matches(texts: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
     changed = F.exists("pairs", lambda p: p["a"] != p["b"])
     found = steady.select(*ids, changed.alias("changed"), F.explode("places").alias("place"))
     found = found.groupBy(*ids).agg(F.countDistinct("place").alias("n"), F.min("changed").alias("changed"))
-    sizes = items.groupBy(F.col("digest").alias("item_digest")).agg(F.count("*").alias("windows"))
+    sizes = items.groupBy(F.col("digest").alias("item_digest")).agg(F.countDistinct("place").alias("windows"))
     sized = look_up(found, materialise(sizes, "item-sizes"), ["item_digest"], "inner")
     hit = sized.filter(100 * F.col("n") >= SIMILARITY * F.col("windows"))
     return hit.select("node", "digest", "item", (F.col("n") / F.col("windows")).alias("share"), "changed")

@@ -168,6 +168,18 @@ def test_decontamination(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == [0, 1, 2, 7, 8, 9]
 
 
+def found_items(spark, docs, items):
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {r["doc_id"]: (r["items"], r["n_exact"], r["n_changed"]) for r in decontaminate.find_leaks(table, bench).collect()}
+
+
+def test_verbatim_copies_in_other_case_or_lines(spark):
+    text = ITEMS[0][1]
+    docs = [(1, text.lower()), (2, text.upper()), (3, text.replace(" Alice", "\nAlice").replace(" Bob", "\nBob")), (4, "Nothing. " + text)]
+    assert found_items(spark, docs, ITEMS[:1]) == {i: ([1], 1, 0) for i in range(1, 5)}
+
+
 # --- substrings ----------------------------------------------------------------------------
 
 
