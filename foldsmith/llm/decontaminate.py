@@ -3,12 +3,14 @@
 Words become template tokens: typed placeholders for numbers, names and units, else the word in lower case without
 punctuation around it. Windows of five tokens are joined by hash with those of the benchmark, by the template or by the
 words in lower case, so a name that is no name in a copy (other case, other line breaks) is found too. Windows of one item
-that lie equally far apart in the document form an alignment; it stands only if its slots are filled consistently,
-each value of the item having one value in the document and the other way round.
+that lie equally far apart in the document form an alignment. Its windows count that are word for word the item's, and those
+whose slots are filled consistently: each value of the item has one value in the document, the most frequent one of the
+alignment. Different values of the item may have the same one in the document.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -169,6 +171,47 @@ def _wanted_bits(items: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _counted(windows: list[dict]) -> tuple[list[int], bool]:
+    """Places of an alignment's windows that count, and whether one of them has other values than the item."""
+    pairs = [[(p["a"], p["b"]) for p in w["pairs"]] for w in windows]
+    if all(a == b for each in pairs for a, b in each):
+        return [w["place"] for w in windows], False
+    # A token lies in up to five windows; it has one vote.
+    at = {(w["place"] + i): p for w, each in zip(windows, pairs) for i, p in enumerate(each)}
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for a, b in at.values():
+        votes[a][b] += 1
+    value = {a: max(n, key=lambda b: (n[b], a == b, b)) for a, n in votes.items()}
+    places, changed = [], False
+    for w, each in zip(windows, pairs):
+        exact = all(a == b for a, b in each)
+        if exact or all(value[a] == b for a, b in each):
+            places.append(w["place"])
+            changed |= not exact
+    return places, changed
+
+
+def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, digest, item, item_digest, changed, place) of the windows that count in each alignment."""
+    for batch in batches:
+        rows, changes, places = [], [], []
+        for r, windows in enumerate(batch.column(batch.schema.get_field_index("windows"))):
+            counted, changed = _counted(windows.as_py())
+            rows += [r] * len(counted)
+            changes += [changed] * len(counted)
+            places += counted
+        at = pa.array(rows, type=pa.int64())
+        names = ["node", "digest", "item", "item_digest"]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(batch.schema.get_field_index(c)).take(at) for c in names],
+                pa.array(changes, type=pa.bool_()),
+                pa.array(places, type=pa.int64()),
+            ],
+            names=[*names, "changed", "place"],
+        )
+
+
 def matches(texts: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(node, digest, item, share, changed) of the items found in (node, digest, text)."""
     spark = texts.sparkSession
@@ -186,13 +229,9 @@ def matches(texts: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
     both = seen.join(theirs, "code")
     ids = ["node", "digest", "item", "item_digest"]
     pairs = F.zip_with("item_tokens", "tokens", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    lined = both.groupBy(*ids, (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    one_each = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size("pairs") for side in ("a", "b")]
-    steady = lined.filter(one_each[0] & one_each[1])
-    changed = F.exists("pairs", lambda p: p["a"] != p["b"])
-    found = steady.select(*ids, changed.alias("changed"), F.explode("places").alias("place"))
+    window = F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))
+    lined = both.groupBy(*ids, (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_set(window).alias("windows"))
+    found = lined.mapInArrow(_consistent, "node long, digest long, item long, item_digest long, changed boolean, place long")
     found = found.groupBy(*ids).agg(F.countDistinct("place").alias("n"), F.min("changed").alias("changed"))
     sizes = items.groupBy(F.col("digest").alias("item_digest")).agg(F.countDistinct("place").alias("windows"))
     sized = look_up(found, materialise(sizes, "item-sizes"), ["item_digest"], "inner")
@@ -215,8 +254,8 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> Da
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, items (sorted ids found in it), shares, n_exact, n_changed, kept.
 
-    An item is found if three quarters of its windows of five template tokens occur in alignments with consistent
-    slots; it is exact if the values are the item's own in one alignment, else changed. A document stays (``kept``)
+    An item is found if three quarters of its windows of five tokens occur in alignments, word for word or with consistent
+    slots; it is exact if the counted values are the item's own in one alignment, else changed. A document stays (``kept``)
     if nothing is found.
 
     Null and empty texts hold nothing. Items of fewer than five words, and null ones, find nothing; equal items stand

@@ -180,6 +180,20 @@ def test_verbatim_copies_in_other_case_or_lines(spark):
     assert found_items(spark, docs, ITEMS[:1]) == {i: ([1], 1, 0) for i in range(1, 5)}
 
 
+def test_one_inconsistent_slot_spares_the_other_windows(spark):
+    item = (
+        "In 2019 the old library opened its doors again after long repairs and the people of the town came to look at "
+        "the new halls, while the mayor said that since 2019 many more books had been lent out than ever before."
+    )
+    merged = (8, "the farmer sold 3 sheep and then bought 5 goats at the market before going home again")
+    docs = [
+        (1, item.replace("since 2019", "since 2020")), (2, merged[1].replace("3", "4").replace("5", "4")),
+        (3, "some of 3 sheep and then bought 5 goats with a friend"), (4, item.replace("2019", "1987")),
+    ]
+    got = found_items(spark, docs, [(9, item), merged])
+    assert got == {1: ([9], 1, 0), 2: ([8], 0, 1), 3: ([], 0, 0), 4: ([9], 0, 1)}
+
+
 # --- substrings ----------------------------------------------------------------------------
 
 
