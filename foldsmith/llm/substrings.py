@@ -1,10 +1,10 @@
-"""Passages that repeat across documents: relative Lempel-Ziv factors against blocks of the whole corpus.
+"""Passages that repeat across documents: winnowed phrases and window look-ups, in place of a relative Lempel-Ziv parse.
 
 The corpus is its own reference. It is cut into phrases at content-defined anchors: every window of
 ``window`` words picks the least of its word 10-grams, and consecutive windows with one pick form a phrase,
 a reference block of ``window`` words or somewhat more. All phrases are indexed by hash with their counts.
-A document is parsed from left to right into these phrases; a chain of phrases that the index has from
-elsewhere too is a factor. At a factor's ends a phrase differs from the reference in part; there its windows
+Nothing is parsed greedily: a chain of phrases that the index has from elsewhere too, be it from different
+texts, is called a factor. At a factor's ends a phrase differs from the reference in part; there its windows
 are looked up one by one, against all phrases with the same anchor. Equal windows always pick the same anchor,
 so no repeated window is missed, and a window counts as repeated only if its whole word sequence recurs.
 """
