@@ -2,7 +2,7 @@
 
 Chunks keep their bounds when lines are put in or taken out, but a passage shorter than a chunk, or at its edge, is in no
 common chunk. So every two successive lines with text are looked up as well: a repeated passage of two such lines or more is
-found wherever its chunk bounds lie.
+found wherever its chunk bounds lie. What goes is what the pairs say; every repeated chunk is made of repeated pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm.substrings import KEY, LIST_CELLS
 from foldsmith.llm.words import text_blocks
-from foldsmith.scratch import materialise, short_lived
+from foldsmith.scratch import attach, materialise, short_lived
 
 # A chunk ends after a line at which the rolling hash over the last ROLL lines is 0 modulo DIVISOR.
 ROLL, DIVISOR = 2, 3
@@ -47,8 +47,18 @@ def pair_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     return [(a, b + 1) for a, b in zip(full, full[1:])]
 
 
+def worded_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The chunks from their first to their last line with text; those with fewer than LEAST_LINES such lines are left out."""
+    out = []
+    for a, b in chunk_bounds(lines):
+        full = [i for i in range(a, b) if lines[i].strip()]
+        if len(full) >= LEAST_LINES:
+            out.append((full[0], full[-1] + 1))
+    return out
+
+
 def _units(lines: list[bytes], pairs: bool) -> list[tuple[int, int]]:
-    chunks = [(a, b) for a, b in chunk_bounds(lines) if b - a >= LEAST_LINES]
+    chunks = worded_chunks(lines)
     return sorted({*chunks, *pair_bounds(lines)}) if pairs else chunks
 
 
@@ -123,7 +133,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = [x for i, x in enumerate(lines) if i not in at]
             n_lines.append(len(lines))
             n_removed.append(len(lines) - len(left))
-            n_chunks.append(sum(c in drop for c in chunk_bounds(lines)) if drop else 0)
+            n_chunks.append(sum(c in drop for c in worded_chunks(lines)) if drop else 0)
             kept.append(b"\n".join(left))
         yield pa.RecordBatch.from_arrays(
             [
@@ -153,7 +163,8 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
     What ``remove_repeated_chunks`` removes, and every two successive lines with text (blank lines between them included)
     whose bytes occurred before, in a lower key or earlier in the text without overlap. So of a passage of two such lines or
     more that occurred before no line stays, wherever chunks are cut; of a run of one line the first two stay. Every
-    removed line has an equal one that stays. Keys, nulls and equal rows are treated as there.
+    removed line has an equal one that stays; a line next to blank lines only never goes. Keys, nulls and equal rows are
+    treated as there. Very long texts are worked off whole, one at a time. An empty table gives no rows.
     """
     return _without_repeats(docs, key, text, pairs=True)
 
@@ -161,8 +172,8 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
 def remove_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_lines, n_removed (lines), n_chunks (removed), kept_text.
 
-    Lines are cut into chunks of two or more where a rolling hash over two line hashes says so. A chunk whose
-    bytes occurred before, in a lower key or earlier in the text, is removed; the first occurrence stays. Hashes find the
+    Lines are cut into chunks where a rolling hash over two line hashes says so. A chunk with two or more lines with text
+    (blank lines at its ends put aside) whose bytes occurred before, in a lower key or earlier in the text, is removed; the first occurrence stays. Hashes find the
     candidates, and bytes are compared before anything is removed. Single lines are never removed.
 
     Null and empty texts have no lines. A null key counts as later than all others. Rows equal in key and text are one
@@ -187,13 +198,16 @@ def _repeats(texts: DataFrame, pairs: bool) -> DataFrame:
     place = "node long, digest long, start long, stop long, code long"
     units = materialise(texts.mapInArrow(lambda it: _unit_rows(it, pairs), place), "chunks").distinct()
     often = units.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = units.join(materialise(often, "repeated-chunks"), "code")
+    placed = attach(units, materialise(often, "repeated-chunks"), ["code"], "left_semi")
     found = _with_ranges(texts, placed, "inner").mapInArrow(_unit_texts, f"{place}, chunk binary")
-    found = materialise(found.distinct(), "chunk-texts")
+    found = materialise(found.distinct().withColumn("bytes_of", F.sha2("chunk", 256)), "chunk-texts")
     # Equal code and equal bytes: the group key compares them. The first occurrence is found with partial sums.
     order = F.struct(F.col("node").isNull().alias("last"), "node", "digest", "start", "stop")
-    first = found.groupBy("code", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = found.groupBy("code", "chunk", "bytes_of").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialise(first.select("code", "bytes_of", "first"), "first-chunks")
     # The first occurrence itself stays, and so does one that overlaps it.
     same = F.col("node").eqNullSafe(F.col("first.node")) & (F.col("digest") == F.col("first.digest"))
     later = ~same | (F.col("start") >= F.col("first.stop"))
-    return first.select("code", "chunk", "first").join(found, ["code", "chunk"]).filter(later).select(*KEY, "start", "stop")
+    # A passage that stands in a third of all rows is one key: the look-up is broadcast, or salted by the place.
+    placed = attach(found.drop("chunk"), first, ["code", "bytes_of"], "inner", salt_on=[*KEY, "start"])
+    return placed.filter(later).select(*KEY, "start", "stop")
