@@ -92,12 +92,30 @@ def _codes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(range_hashes(sums, a, b, BYTE_BASE) + (b - a).astype(np.uint64)), a, b
 
 
-def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token values; of the window at each word the hash of its values, the template's, and whether that counts; windows per text."""
+class Tokens:
+    """Values of the words of a block of texts, and those of their template; windows of any length over them."""
+
+    def __init__(self, words: Words):
+        self.values, tokens, plain = _templates(words)
+        self.count = np.diff(words.first)
+        self.exact_sums, self.loose_sums = prefix_sums(self.values, WORD_BASE), prefix_sums(tokens, WORD_BASE)
+        self.plain = np.concatenate([[0], np.cumsum(plain)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the window of ``size`` words at each word: the hash of its values, the template's, and whether that counts."""
+        starts = np.arange(max(0, len(self.values) - size + 1))
+        loose = range_hashes(self.loose_sums, starts, starts + size, WORD_BASE) + np.uint64(2 * (WINDOW - size))
+        exact = range_hashes(self.exact_sums, starts, starts + size, WORD_BASE) + np.uint64(2 * (WINDOW - size) + 1)
+        n_plain = self.plain[starts + size] - self.plain[starts]
+        return mix(exact), mix(loose), (n_plain >= LEAST_WORDS) & (n_plain < size)
+
+
+def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all words, their template's tokens, and which words are plain."""
     values, a, b = _codes(words)
     data = words.data
     if not len(values):
-        return values, values, values, np.zeros(0, dtype=bool), np.zeros(len(words.first) - 1, dtype=np.int64)
+        return values, values, np.zeros(0, dtype=bool)
     within = lambda flags: np.concatenate([[0], np.cumsum(flags[data])])
     digits, numeric = within(_DIGIT), within(_NUMERIC)
     number_words, units = _known()
@@ -119,48 +137,51 @@ def _templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     name = upper & ~opens & ~number & ~unit
     tokens = values.copy()
     tokens[number], tokens[unit], tokens[name] = np.uint64(NUMBER), np.uint64(UNIT), np.uint64(NAME)
-    starts = np.arange(max(0, len(values) - WINDOW + 1))
-    plain = np.concatenate([[0], np.cumsum(~(number | unit | name))])
-    loose = range_hashes(prefix_sums(tokens, WORD_BASE), starts, starts + WINDOW, WORD_BASE)
-    exact = range_hashes(prefix_sums(values, WORD_BASE), starts, starts + WINDOW, WORD_BASE) + np.uint64(1)
-    n_plain = plain[starts + WINDOW] - plain[starts]
-    templated = (n_plain >= LEAST_WORDS) & (n_plain < WINDOW)
-    return values, mix(exact), mix(loose), templated, np.maximum(np.diff(words.first) - WINDOW + 1, 0)
+    return values, tokens, ~(number | unit | name)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(node, digest, place, code, tokens) of the windows whose code may be wanted, a row for each of its codes."""
+def _window_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """(node, digest, place, size, code, tokens) of the windows whose code may be wanted, a row for each of its codes.
+
+    Without ``wanted`` the texts are items: each has windows of WINDOW words, a shorter one is a window of its own.
+    """
     for part, texts in text_blocks(batches, "text"):
         words = Words(texts)
-        values, exact, loose, templated, n = _templates(words)
-        doc = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        at = place + words.first[doc]
-        code = exact[at] if len(at) else np.zeros(0, dtype=np.uint64)
-        if len(at):
-            # A window with filled slots has a second row, by its template.
-            also = np.flatnonzero(templated[at])
-            code = np.concatenate([code, loose[at[also]]])
-            doc, place, at = (np.concatenate([x, x[also]]) for x in (doc, place, at))
-        if wanted is not None:
-            low = (code & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            keep = np.flatnonzero((wanted[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
-            doc, place, at, code = doc[keep], place[keep], at[keep], code[keep]
-        tokens = values[at[:, None] + np.arange(WINDOW)].reshape(-1) if len(at) else np.zeros(0, dtype=np.uint64)
-        rows = pa.array(doc.astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column(part.schema.get_field_index("node")).take(rows),
-                part.column(part.schema.get_field_index("digest")).take(rows),
-                pa.array(place.astype(np.int64)),
-                pa.array(code.view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) + 1, WINDOW, dtype=np.int32)), pa.array(tokens.view(np.int64))),
-            ],
-            names=["node", "digest", "place", "code", "tokens"],
-        )
-
-
-_ROWS = "node long, digest long, place long, code long, tokens array<long>"
+        tokens = Tokens(words)
+        for size in sizes:
+            n = np.maximum(tokens.count - size + 1, 0)
+            if wanted is None and size < WINDOW:
+                n = (tokens.count == size).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            at = place + words.first[doc]
+            code = np.zeros(0, dtype=np.uint64)
+            if len(at):
+                exact, loose, templated = tokens.windows(size)
+                # A window with filled slots has a second row, by its template.
+                also = np.flatnonzero(templated[at])
+                code = np.concatenate([exact[at], loose[at[also]]])
+                doc, place, at = (np.concatenate([x, x[also]]) for x in (doc, place, at))
+            if wanted is not None:
+                low = (code & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                keep = np.flatnonzero((wanted[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+                doc, place, at, code = doc[keep], place[keep], at[keep], code[keep]
+            filled = tokens.values[at[:, None] + np.arange(size)].reshape(-1) if len(at) else np.zeros(0, dtype=np.uint64)
+            rows = pa.array(doc.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(part.schema.get_field_index("node")).take(rows),
+                    part.column(part.schema.get_field_index("digest")).take(rows),
+                    pa.array(place.astype(np.int64)),
+                    pa.array(np.full(len(at), size, dtype=np.int32)),
+                    pa.array(code.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(filled) + 1, size, dtype=np.int32)), pa.array(filled.view(np.int64))),
+                ],
+                names=["node", "digest", "place", "size", "code", "tokens"],
+            )
+
+
+_ROWS = "node long, digest long, place long, size int, code long, tokens array<long>"
 
 
 def _wanted_bits(items: DataFrame) -> np.ndarray:
@@ -219,14 +240,17 @@ def matches(texts: DataFrame, benchmark: DataFrame, item: str = "item_id", text:
     asked = benchmark.select(F.col(item).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
     asked = asked.filter("text is not null").groupBy("text").agg(F.min("node").alias("node"))
     asked = asked.select("node", F.xxhash64("text").alias("digest"), "text")
-    items = materialise(asked.mapInArrow(lambda it: _window_rows(it, None), _ROWS), "item-windows")
+    every = list(range(1, WINDOW + 1))
+    items = materialise(asked.mapInArrow(lambda it: _window_rows(it, None, every), _ROWS), "item-windows")
+    # Texts are cut into windows of the lengths that the items have: five words, and those of shorter items.
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     wanted = spark.sparkContext.broadcast(_wanted_bits(items))
-    seen = materialise(texts.mapInArrow(lambda it: _window_rows(it, wanted.value), _ROWS), "seen-windows")
+    seen = materialise(texts.mapInArrow(lambda it: _window_rows(it, wanted.value, sizes), _ROWS), "seen-windows")
     theirs = items.select(
         F.col("node").alias("item"), F.col("digest").alias("item_digest"), F.col("place").alias("item_place"),
-        F.col("tokens").alias("item_tokens"), "code",
+        F.col("tokens").alias("item_tokens"), "code", "size",
     )
-    both = seen.join(theirs, "code")
+    both = seen.join(theirs, ["code", "size"])
     ids = ["node", "digest", "item", "item_digest"]
     pairs = F.zip_with("item_tokens", "tokens", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     window = F.struct(F.col("item_place").alias("place"), pairs.alias("pairs"))
@@ -258,8 +282,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     slots; it is exact if the counted values are the item's own in one alignment, else changed. A document stays (``kept``)
     if nothing is found.
 
-    Null and empty texts hold nothing. Items of fewer than five words, and null ones, find nothing; equal items stand
-    as the least id. Equal texts get equal results, whatever their keys. Other columns are not read.
+    An item of fewer than five words is one window of its own length and is found wherever its words stand.
+
+    Null and empty texts hold nothing. Null items and items without words find nothing; equal items stand as the least id.
+    Equal texts get equal results, whatever their keys. Very long texts are worked off whole, one at a time. An empty
+    table gives no rows, an empty benchmark finds nothing. Other columns are not read.
     """
     hits = _with_hits(docs, benchmark, key, text)
     items = F.coalesce("items", F.array().cast("array<struct<item:bigint,share:double,changed:boolean>>"))
