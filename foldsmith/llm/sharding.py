@@ -15,6 +15,8 @@ BUCKET_BYTES = 16 << 20
 ROW_BYTES = 16
 SEED = 8191
 GROUP = 1024
+# Copies of one row that a task writes out at once.
+COPIES = 1000
 
 
 def size_of(text: str) -> Column:
@@ -41,26 +43,46 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     after the other are a random order of all rows; shard s is its s-th part, so that counts are at most one
     apart, and ``slot`` is the place inside the shard, gapless from 0.
 
-    Null texts count 16 bytes. Copies with different keys scatter; rows equal in every column share a bucket. Columns
-    of ``docs`` called shard or slot give way to the new ones. An empty table gives no rows.
+    Null texts count 16 bytes. Copies scatter, with different keys or equal in every column. Columns of ``docs`` called
+    shard or slot give way to the new ones; any other names may occur. A very long text is a row like any other; a
+    bucket holds one of any length. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     total, rows = docs.agg(F.sum(size_of(text)), F.count("*")).first()
     n_buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     code = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names])
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    hashed = docs.select(code.alias("code"), row.alias("row")).withColumn("bucket", F.pmod("code", F.lit(n_buckets)))
+    hashed = _numbered(docs.select(code.alias("code"), row.alias("row")), n_buckets, seed)
     offsets = materialise(_offsets(hashed.groupBy("bucket").agg(F.count("*").alias("rows"))), "bucket-offsets")
 
     scattered = hashed.repartition(n_buckets, "bucket").groupBy("bucket")
-    filled = scattered.agg(F.sort_array(F.collect_list(F.struct("code", "row"))).alias("rows"))
+    filled = scattered.agg(F.sort_array(F.collect_list(F.struct("code", "copy", "row"))).alias("rows"))
     shuffled = look_up(filled, offsets, ["bucket"]).select("offset", F.shuffle("rows", seed).alias("rows"))
     placed = shuffled.select("offset", F.posexplode("rows").alias("pos", "item"))
     place = F.col("offset") + F.col("pos")
     # Whole-number division: shard s begins at place ceil(s * rows / n_shards).
     number = F.expr("(offset + pos) * {n} div {rows}".format(n=n_shards, rows=max(1, rows)))
-    begin = F.ceil(F.col("shard").cast("decimal(38,0)") * rows / F.lit(n_shards).cast("decimal(38,0)")).cast("long")
-    out = placed.select("item.row.*", place.alias("_place"), number.cast("int").alias("shard"))
-    out = out.withColumn("slot", (F.col("_place") - begin).cast("long")).drop("_place")
+    begin = F.ceil(number.cast("decimal(38,0)") * rows / F.lit(n_shards).cast("decimal(38,0)")).cast("long")
+    at = F.struct(number.cast("int").alias("shard"), (place - begin).cast("long").alias("slot"))
+    out = placed.select("item", at.alias("at")).select("item.row.*", "at.*")
     out.write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path).select(*names, "shard", "slot")
+
+
+def _numbered(rows: DataFrame, n_buckets: int, seed: int) -> DataFrame:
+    """(code, copy, row, bucket): rows equal in every column are numbered, and their numbers scatter them like other rows.
+
+    Which of them has which number does not matter, so they are counted, with partial counts before the shuffle, and
+    written out again COPIES at a time; a row that repeats for a third of the table passes no task as a whole.
+    """
+    often = rows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+    often = materialise(often, "repeated-codes")
+    known = look_up(rows, often.withColumn("again", F.lit(True)), ["code"])
+    once = known.filter("again is null").select("code", F.lit(0).cast("long").alias("copy"), "row")
+    # Different rows can have one code; the rows themselves are compared here.
+    counted = known.filter("again").groupBy("code", "row").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    least, most = F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
+    copies = parts.repartition("code", "part").select("code", F.explode(F.sequence(least, most)).alias("copy"), "row")
+    bucket = F.pmod(F.when(F.col("copy") == 0, F.col("code")).otherwise(F.xxhash64(F.lit(seed), "code", "copy")), F.lit(n_buckets))
+    return once.unionByName(copies).withColumn("bucket", bucket)
