@@ -17,11 +17,17 @@ import numpy as np
 SAMPLE_ROWS = 16_384
 FANOUT = 16
 DEPTH = 3
-LEAF_ROWS = 4096
+LEAST_LEAF, MOST_LEAF = 256, 65_536
 # Relative slack of the distances, so that rounding never rules a row out.
 SLACK = 1e-9
 
 
+def leaf_rows(n: int) -> int:
+    """Rows of a leaf, growing with the square root of the table: what an anchor is sent to and what a task holds then
+    grow alike."""
+    return min(MOST_LEAF, max(LEAST_LEAF, 4 * math.isqrt(n)))
+
+
 @dataclass
 class Node:
     """Split points and, for each, the child it leads to: a node, or below zero the leaf -1 - child."""
@@ -111,10 +117,10 @@ def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def plant(sample: np.ndarray, n: int, longest: float, seed: int = 11) -> Tree:
-    """A tree for ``n`` rows from a sample of them; deep enough for leaves of some LEAF_ROWS rows, DEPTH at most."""
+    """A tree for ``n`` rows from a sample of them; deep enough for leaves of ``leaf_rows``, DEPTH at most."""
     rng = np.random.default_rng(seed)
     tree = Tree([], 0, longest)
-    wanted = max(2, math.ceil(n / LEAF_ROWS))
+    wanted = max(2, math.ceil(n / leaf_rows(n)))
     depth = min(DEPTH, max(1, math.ceil(math.log(wanted) / math.log(FANOUT))))
     fanout = min(FANOUT, max(2, math.ceil(wanted ** (1 / depth))))
 

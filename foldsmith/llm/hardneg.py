@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.llm.gnat import LEAF_ROWS, SAMPLE_ROWS, Tree, plant
+from foldsmith.llm import gnat
+from foldsmith.llm.gnat import SAMPLE_ROWS, Tree, plant
 from foldsmith.llm.vectors import lists, matrix, usable, width
 from foldsmith.scratch import materialise, short_lived
 
@@ -79,7 +80,8 @@ def _measure(filed: DataFrame, tree: Tree, d: int) -> None:
 def _parts(filed: DataFrame, tree: Tree) -> tuple[DataFrame, np.ndarray]:
     """Rows with ``part``, and the first part of every leaf: a leaf of any size is cut by a hash into even parts."""
     sizes = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one per leaf
-    pieces = np.array([math.ceil(sizes.get(i, 0) / LEAF_ROWS) for i in range(tree.leaves)])
+    most = gnat.leaf_rows(sum(sizes.values()))
+    pieces = np.array([math.ceil(sizes.get(i, 0) / most) for i in range(tree.leaves)])
     first = np.concatenate([[0], np.cumsum(pieces)]).astype(int)
     table = filed.sparkSession.createDataFrame(
         [(i, int(first[i]), int(pieces[i])) for i in range(tree.leaves) if pieces[i]], "leaf int, first int, pieces int"
@@ -136,7 +138,7 @@ def _best(scores: np.ndarray, fits: np.ndarray, ids: np.ndarray, k: int) -> tupl
 def _visit(parts: DataFrame, routed: DataFrame, same: bool, k: int, d: int) -> DataFrame:
     """Stored (anchor, slot, id, score): in every part an anchor is sent to, its ``k`` best rows of each window.
 
-    A part's rows come first and are held, LEAF_ROWS or so; the anchors sent there pass by in batches.
+    A part's rows come first and are held, ``gnat.leaf_rows`` or so; the anchors sent there pass by in batches.
     """
     none = F.lit(None).cast("array<long>")
     held = parts.select("part", F.lit(0).alias("tag"), "id", "label", "vector", none.alias("low"), none.alias("high"), none.alias("bar"))

@@ -314,23 +314,31 @@ def test_toxicity_without_classes(spark, docs, empty):
 
 
 def chunks_by_brute_force(docs):
-    """Kept text of each (id, text), chunks taken from the operator's own bounds."""
+    """Kept text of each (id, text), chunks taken from the operator's own bounds; at least two lines with text go."""
     order = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, d[1] or ""))
     seen, out = {}, {}
     for d in order:
         parts = d[1].encode().split(b"\n") if d[1] else []
-        left = []
+        gone = set()
         for a, b in lines.chunk_bounds(parts):
-            chunk = b"\n".join(parts[a:b])
-            if b - a >= 2 and chunk in seen:
+            full = [i for i in range(a, b) if parts[i].strip()]
+            if len(full) < 2:
                 continue
-            if b - a >= 2:
-                seen[chunk] = d
-            left += parts[a:b]
-        out[d] = b"\n".join(left).decode()
+            chunk = b"\n".join(parts[full[0] : full[-1] + 1])
+            if chunk in seen:
+                gone.update(range(full[0], full[-1] + 1))
+            seen.setdefault(chunk, d)
+        out[d] = b"\n".join(x for i, x in enumerate(parts) if i not in gone).decode()
     return out
 
 
+def test_a_line_among_blank_ones_never_goes(spark):
+    """Verbatim "line, blank" repeats are single lines, wherever chunks are cut."""
+    data = [(i, f"line {i % 5}\n\nown {i}\n\nline {(i + 1) % 5}\n\n") for i in range(40)]
+    got = lines.remove_repeated_chunks(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["kept_text"] for r in got} == dict(data)
+
+
 def test_line_chunks(spark):
     rng = __import__("random").Random(4)
     shared = "\n".join(fixture.prose(rng, 8) for _ in range(30))
@@ -426,3 +434,44 @@ def test_empty_tables(spark, empty):
     assert secrets.scan(empty).count() == 0 and quality.clean(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(pages, spark.createDataFrame(list(urls.RULES), "verdict string, host string, path string")).count() == 0
+
+
+# --- short benchmark items, copies in every column, clashing names -----------------------------
+
+
+def test_short_items_are_windows_of_their_own_length(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Faust"), (2, "Goethe"), (3, "how far is it"), (4, ""), (5, None), (6, " \n ")], "item_id long, text string")
+    data = [
+        (0, "Who wrote Faust"), (1, "so, who wrote Faust? asked the man"), (2, "Faust wrote who"), (3, "GOETHE, of course."),
+        (4, "they ask how far is\nit from here"), (5, "how far was it"), (6, None), (7, ""), (8, "who wrote " * 400 + "Faust"),
+    ]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in data], "doc_id long, text string, size string, items int")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_leaks(table, bench).collect()}
+
+    def found(text, item):
+        t, w = ([x.strip(".,?!;:").lower() for x in fixture.words(s)] for s in (text, item))
+        return bool(w) and any(t[i : i + len(w)] == w for i in range(len(t) - len(w) + 1))
+
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    assert got == {i: [k for k, x in items if found(t, x)] for i, t in data}
+    assert got[0] == [1] and got[3] == [2] and got[4] == [3]
+
+
+def test_equal_rows_scatter_and_any_names_may_occur(spark):
+    """A third of the table is one row; copies go to many buckets, and columns may be called like the operator's own."""
+    names = "doc_id long, text string, _place string, copy int, code long, bucket int, n int, part int, item string, row string, at int"
+    rest = ("p", 1, 2, 3, 4, 5, "i", "r", 6)
+    data = [(i, "t%d" % i * 5, *rest) for i in range(400)] + [(7000, "one row again and again", *rest)] * 200
+    table = spark.createDataFrame(data, names)
+    out = sharding.shard(table, 6, fresh_path(spark, "copies"), bucket_bytes=600)
+    got = out.collect()
+    assert out.columns == [*table.columns, "shard", "slot"] and counted(tuple(r)[:-2] for r in got) == counted(data)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(100)) for v in slots.values()) and set(slots) == set(range(6))
+    shares = collections.Counter(r["shard"] for r in got if r["doc_id"] == 7000)
+    assert set(shares) == set(range(6)) and max(shares.values()) < 60
+    numbered = sharding._numbered(table.select(F.xxhash64("doc_id").alias("code"), F.struct("doc_id").alias("row")), 50, 1)
+    spread = [r["n"] for r in numbered.filter("row.doc_id = 7000").groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert sum(spread) == 200 and len(spread) > 30 and max(spread) < 20

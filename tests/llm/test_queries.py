@@ -82,12 +82,14 @@ def test_toxicity_held_out(spark):
     assert won > 0.97 and sum(g[2] for g in good) <= 0.01 * len(good)
 
 
-def test_line_chunks(spark, texts):
+def test_line_passages(spark, texts):
+    """Exactly what all windows of two lines with text say: recall and precision are 1."""
     got = QUERIES["op9_line_chunk_dedup"](spark, SF).collect()
-    from tests.llm.test_operators import chunks_by_brute_force
+    from tests.llm.test_operators import passages_by_brute_force
 
-    want = chunks_by_brute_force(list(texts.items()))
+    want = passages_by_brute_force(list(texts.items()))
     assert {(r["doc_id"], r["kept_sha256"]) for r in got} == {(d[0], hashlib.sha256(k.encode()).hexdigest()) for d, k in want.items()}
+    assert sum(r["n_removed"] for r in got) > 0
 
 
 def test_pipeline_stages(spark, docs, texts, items):

@@ -163,10 +163,9 @@ def mined(rows, anchors, positives=5, negatives=3):
     return sorted(out)
 
 
-@pytest.mark.parametrize("leaf_rows", [4096, 8])
-def test_hard_negatives(spark, table, monkeypatch, leaf_rows):
-    monkeypatch.setattr(hardneg, "LEAF_ROWS", leaf_rows)
-    monkeypatch.setattr(gnat, "LEAF_ROWS", leaf_rows)
+@pytest.mark.parametrize("rows", [4096, 8])
+def test_hard_negatives(spark, table, monkeypatch, rows):
+    monkeypatch.setattr(gnat, "leaf_rows", lambda n: rows)
     got = hardneg.hard_negatives(table, F.col("vec_id") % 3 == 0)
     want = mined(awkward(), lambda i: i % 3 == 0)
     assert want and sorted(map(tuple, got.collect())) == want
@@ -174,8 +173,7 @@ def test_hard_negatives(spark, table, monkeypatch, leaf_rows):
 
 def test_hard_negatives_with_ties_and_one_hot_vector(spark, monkeypatch):
     """A third of the rows is one vector, all scores whole ties; parts stay small and the smaller keys win."""
-    monkeypatch.setattr(hardneg, "LEAF_ROWS", 16)
-    monkeypatch.setattr(gnat, "LEAF_ROWS", 16)
+    monkeypatch.setattr(gnat, "leaf_rows", lambda n: 16)
     rng = np.random.default_rng(2)
     few = rng.integers(-2, 3, size=(6, 4)) / 2.0
     rows = [(i, few[0 if i % 3 == 0 else i % 6].tolist(), i % 5, *EXTRA) for i in range(300)]
