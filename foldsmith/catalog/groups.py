@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.catalog.registry import query
-from foldsmith.catalog.rows import SQL_CLASS, SQL_ORDER_CLASS
+from foldsmith.catalog.rows import SQL_CLASS, SQL_ORDER_CLASS, sql_hash32
 from foldsmith.catalog.views import DOC_ROLES, ORDER_ROLES, sql_with, table, v_docs, v_orders
 from foldsmith.operators import columns, correlation, groupstats, labels, odds
 from foldsmith.roles import LABEL_ANY, LABEL_CLASS
@@ -129,7 +129,8 @@ def odds_pair(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(odds.fit_odds(df, LABEL_ANY, ANY_CLASSES, sets), "class", "n", "pos", "neg", "odds")
 
 
-FLAG_SETS = [("lang",), ("source",), ("lang", "source"), ("lang", "has_digit"), ("source", "is_long")]
+# All sets that the roles have: categories, and their pairs with one another and with the flags.
+FLAG_SETS = odds.odds_sets(DOC_ROLES.categorical, DOC_ROLES.binary, [*DOC_ROLES.categorical, *DOC_ROLES.binary])
 
 
 def _sql_odds_attach() -> str:
@@ -157,11 +158,39 @@ def odds_attach(spark: SparkSession, sf: str) -> DataFrame:
     from foldsmith.catalog.views import doc_features
 
     fitted = odds.fit_odds(_classed_docs(spark, sf), LABEL_CLASS, DOC_CLASSES, FLAG_SETS)
-    out = odds.attach_odds(doc_features(spark, sf), fitted, FLAG_SETS, DOC_CLASSES, ["doc_id"])
+    out = odds.attach_odds(doc_features(spark, sf), fitted, FLAG_SETS, DOC_CLASSES)
     names = [odds.odds_name(s, c) for s in FLAG_SETS for c in DOC_CLASSES]
     return out.select("doc_id", *[F.round(n, 6).alias(n) for n in names])
 
 
+def _sql_out_of_fold() -> str:
+    cols = []
+    for s in FLAG_SETS:
+        for c in DOC_CLASSES:
+            hit = f"count(*) FILTER (WHERE label_class = '{c}')"
+            whole, own = f"OVER (PARTITION BY {', '.join(s)})", f"OVER (PARTITION BY {', '.join(s)}, fold)"
+            pos, n = f"({hit} {whole} - {hit} {own})", f"(count(*) {whole} - count(*) {own})"
+            cols.append(f'round({pos}::DOUBLE / nullif({n} - {pos}, 0), 6) AS "{odds.odds_name(s, c)}"')
+    return f"SELECT doc_id, fold, {', '.join(cols)} FROM d"
+
+
+@query(
+    "odds_out_of_fold",
+    sql_with("v_docs")
+    + f""", d AS (SELECT *, {SQL_CLASS} AS label_class,
+                  CAST({sql_hash32(f"'{odds.FOLD_SEED}'", "doc_id::VARCHAR")} % {odds.FOLDS} AS INT) AS fold FROM v_docs) """
+    + _sql_out_of_fold(),
+)
+def odds_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Odds of the labelled documents themselves, each from the rows of the other folds."""
+    rows = materialise(_classed_docs(spark, sf), "labelled-docs")
+    fitted = odds.fit_odds(rows, LABEL_CLASS, DOC_CLASSES, FLAG_SETS, DOC_ROLES.key)
+    fold = odds.fold_of(DOC_ROLES.key)
+    out = odds.attach_odds(rows.withColumn("fold", fold), fitted, FLAG_SETS, DOC_CLASSES, fold)
+    names = [odds.odds_name(s, c) for s in FLAG_SETS for c in DOC_CLASSES]
+    return out.select("doc_id", "fold", *[F.round(n, 6).alias(n) for n in names])
+
+
 # --- statistics ----------------------------------------------------------------------------
 
 LINE_SINGLE = [(c,) for c in LINE_CATS]
@@ -181,8 +210,8 @@ def stats_pair(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(fitted, "num", "n", *STATS)
 
 
-ATTACHED_SETS = [("segment_known",), ("c_nation",), ("o_orderstatus", "segment_known")]
-ATTACHED_NUMS = ["o_totalprice", "sum_qty"]
+ATTACHED_SETS = [*groupstats.single_sets(CATS), *groupstats.pair_sets(CATS)]
+ATTACHED_NUMS = NUMS
 
 
 def _sql_stats_attach() -> str:
@@ -203,7 +232,7 @@ def stats_attach(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics joined back to the rows; rows with a null category keep nulls."""
     df = materialise(v_orders(spark, sf).select(KEY, *CATS, *ATTACHED_NUMS), "orders")
     fitted = groupstats.fit_group_stats(df, ATTACHED_SETS, ATTACHED_NUMS)
-    out = groupstats.attach_group_stats(df, fitted, ATTACHED_SETS, ATTACHED_NUMS, salt_on=[KEY])
+    out = groupstats.attach_group_stats(df, fitted, ATTACHED_SETS, ATTACHED_NUMS)
     shown = [
         F.round(groupstats.stat_name(s, x, f), _digits(x)).alias(groupstats.stat_name(s, x, f))
         for s in ATTACHED_SETS
@@ -243,14 +272,21 @@ def _sql_bounds(source: str, c: str, nums) -> str:
     "outlier_flag",
     sql_with("v_orders")
     + "SELECT v.o_orderkey, "
-    + ", ".join(f"CAST({_sql_outlier(f'v.{x}', f'b.m_{x}', f'b.s_{x}')} AS INT) AS {x}_outlier" for x in NUMS)
-    + f" FROM v_orders v LEFT JOIN {_sql_bounds('v_orders', 'segment_known', NUMS)} b ON v.segment_known = b.segment_known",
+    + ", ".join(
+        f"CAST({_sql_outlier(f'v.{x}', f'b{i}.m_{x}', f'b{i}.s_{x}')} AS INT) AS {c}_{x}_outlier" for i, c in enumerate(CATS) for x in NUMS
+    )
+    + " FROM v_orders v "
+    + " ".join(f"LEFT JOIN {_sql_bounds('v_orders', c, NUMS)} b{i} ON v.{c} = b{i}.{c}" for i, c in enumerate(CATS)),
 )
 def outlier_flag(spark: SparkSession, sf: str) -> DataFrame:
-    df = v_orders(spark, sf).select(KEY, "segment_known", *NUMS)
-    bounds = materialise(groupstats.fit_bounds(df, [("segment_known",)], NUMS), "bounds")
-    out = groupstats.outlier_flags(df, bounds, "segment_known", NUMS)
-    return out.select(KEY, *[f"{n}_outlier" for n in NUMS])
+    """Flags of every number against the bounds of every category."""
+    df = materialise(v_orders(spark, sf).select(KEY, *CATS, *NUMS), "orders")
+    bounds = materialise(groupstats.fit_bounds(df, [(c,) for c in CATS], NUMS), "bounds")
+    out = df
+    for c in CATS:
+        flagged = groupstats.outlier_flags(out, bounds, c, NUMS)
+        out = flagged.withColumnsRenamed({f"{n}_outlier": f"{c}_{n}_outlier" for n in NUMS})
+    return out.select(KEY, *[f"{c}_{n}_outlier" for c in CATS for n in NUMS])
 
 
 @query(
@@ -273,21 +309,28 @@ def outlier_filter(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("set", F.get("keys", F.lit(0)).alias("k1"), "num", "kept", "total")
 
 
-@query(
-    "normalize_minmax",
-    sql_with("v_orders")
-    + f""", k AS (SELECT v.o_orderkey, v.segment_known, v.sum_qty AS x
-                 FROM v_orders v JOIN {_sql_bounds('v_orders', 'segment_known', ['sum_qty'])} b ON v.segment_known = b.segment_known
-                 WHERE NOT {_sql_outlier('v.sum_qty', 'b.m_sum_qty', 'b.s_sum_qty')})
-          SELECT k.o_orderkey, k.segment_known, round((x - lo) / nullif(hi - lo, 0), 6) AS sum_qty_normalized
-          FROM k JOIN (SELECT segment_known, min(x) AS lo, max(x) AS hi FROM k GROUP BY segment_known) r
-          ON k.segment_known = r.segment_known""",
-)
+def _sql_minmax() -> str:
+    parts = []
+    for c in CATS:
+        for x in NUMS:
+            parts.append(
+                f"""SELECT o_orderkey, '{c}' AS set, CAST({c} AS VARCHAR) AS k1, '{x}' AS num,
+                    round((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 6) AS value
+                    FROM (SELECT v.o_orderkey, v.{c}, v.{x} AS x FROM v_orders v JOIN {_sql_bounds('v_orders', c, [x])} b ON v.{c} = b.{c}
+                          WHERE v.{x} IS NOT NULL AND NOT {_sql_outlier(f'v.{x}', f'b.m_{x}', f'b.s_{x}')})
+                    WINDOW w AS (PARTITION BY {c})"""
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("normalize_minmax", sql_with("v_orders") + _sql_minmax())
 def normalize_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    df = v_orders(spark, sf).select(KEY, "segment_known", "sum_qty")
-    bounds = materialise(groupstats.fit_bounds(df, [("segment_known",)], ["sum_qty"]), "bounds")
-    out = groupstats.normalised_rows(df, bounds, "segment_known", "sum_qty", salt_on=[KEY])
-    return out.select(KEY, "segment_known", F.round("sum_qty_normalized", 6).alias("sum_qty_normalized"))
+    """Every non-outlier of every number, scaled within each of the row's categories."""
+    df = materialise(v_orders(spark, sf).select(KEY, *CATS, *NUMS), "orders")
+    sets = [(c,) for c in CATS]
+    bounds = materialise(groupstats.fit_bounds(df, sets, NUMS), "bounds")
+    out = groupstats.normalised_values(df, bounds, sets, NUMS, KEY)
+    return out.select(KEY, "set", F.get("keys", F.lit(0)).alias("k1"), "num", F.round("value", 6).alias("value"))
 
 
 def _sql_normalised(source: str, cats, nums) -> str:

@@ -58,12 +58,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _value_rows(groups: DataFrame, nums: list[str]) -> DataFrame:
-    """One row per group row and number: GROUP columns, ``num_id`` and ``value``."""
+def _value_rows(groups: DataFrame, nums: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group row and number: GROUP columns, those carried along, ``num_id`` and ``value``."""
     each = F.array(
         *[F.struct(F.lit(i).alias("num_id"), F.col(n).cast("double").alias("value")) for i, n in enumerate(nums)]
     )
-    return groups.select(*GROUP, F.inline(each))
+    return groups.select(*GROUP, *carry, F.inline(each))
 
 
 def _medians(groups: DataFrame, sets: list[KeySet], nums: list[str], direct_rows: int) -> DataFrame:
@@ -116,9 +116,9 @@ def fit_bounds(df: DataFrame, sets: list[KeySet], nums: list[str]) -> DataFrame:
 
 
 def _kept(
-    df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str], width: float
+    df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str], width: float, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """GROUP columns and the numbers, null where the outlier rule takes the value out."""
+    """GROUP columns, those carried along, and the numbers, null where the outlier rule takes the value out."""
     per_group = numbered_groups(bounds, sets).groupBy(*GROUP).agg(
         *[
             F.max(F.when(F.col("num") == n, F.col(f))).alias(f"_{f}_{i}")
@@ -126,13 +126,13 @@ def _kept(
             for f in ("mean", "sd")
         ]
     )
-    rows = attach(explode_sets(df, sets, list(nums)), per_group, GROUP)
+    rows = attach(explode_sets(df, sets, [*carry, *nums]), per_group, GROUP)
 
     def kept(i: int, n: str) -> Column:
         out = E.is_outlier(F.col(n), F.col(f"_mean_{i}"), F.col(f"_sd_{i}"), width)
         return F.when(~out, F.col(n)).alias(n)
 
-    return rows.select(*GROUP, *[kept(i, n) for i, n in enumerate(nums)])
+    return rows.select(*GROUP, *carry, *[kept(i, n) for i, n in enumerate(nums)])
 
 
 def outlier_flags(
@@ -178,6 +178,22 @@ def normalised_rows(
     return attach(kept, ends, [category], "left", salt_on).withColumn(f"{num}_normalized", scaled).drop("_lo", "_hi")
 
 
+def normalised_values(
+    df: DataFrame, bounds: DataFrame, sets: list[KeySet], nums: list[str], key: str, width: float = OUTLIER_WIDTH
+) -> DataFrame:
+    """(key, set, keys, num, value): every known non-outlier of every set, scaled to 0..1 within its group; one pass for all."""
+    parts = []
+    for chunk in _chunks(nums):
+        long = _value_rows(_kept(df, bounds, sets, chunk, width, (key,)), chunk, (key,)).filter(F.col("value").isNotNull())
+        group = [*GROUP, "num_id"]
+        ends = materialise(long.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")), "ends")
+        out = attach(long, ends, group, "left", [key])
+        num = F.get(F.array(*[F.lit(n) for n in chunk]), "num_id").alias("num")
+        scaled = E.min_max(F.col("value"), F.col("_lo"), F.col("_hi")).alias("value")
+        parts.append(named_groups(out.select(*GROUP, key, num, scaled), sets).select(key, "set", "keys", "num", "value"))
+    return _union(parts)
+
+
 def fit_normalised_stats(
     df: DataFrame,
     bounds: DataFrame,
@@ -251,10 +267,8 @@ def attach_group_stats(
     sets: list[KeySet],
     nums: list[str],
     normalised: bool = False,
-    salt_on: list[str] | None = None,
 ) -> DataFrame:
     """Add ``<set>_<num>_<stat>`` columns; rows with a null or unseen key get nulls."""
-    lookup = materialise(value_lookup([stat_items(artifact, normalised)]), "stats-lookup")
     items = {s: stat_names([s], nums, normalised) for s in sets}
-    out, arrays = attach_values(df, lookup, items, salt_on)
-    return spread_values(out, arrays, items)
+    lookup = materialise(value_lookup([stat_items(artifact, normalised)], items), "stats-lookup")
+    return spread_values(attach_values(df, lookup, items), items)

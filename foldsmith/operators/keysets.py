@@ -6,28 +6,41 @@ holds their values as strings in the order the set lists its columns.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foldsmith.functions import expressions as E
 from foldsmith.functions.names import set_name
-from foldsmith.scratch import BROADCAST_CELLS, attach
+from foldsmith.scratch import BROADCAST_CELLS, attach, materialise
 
 KeySet = tuple[str, ...]
 GROUP = ["set_id", "k1", "k2"]
 # Spark numbers grouping sets with one bit per column.
 MAX_COLUMNS = 60
+# The array that attach_values adds, and the number it gives the rows meanwhile.
+VALUES, ROW = "_values", "_row"
+# A key with more than one in HOT_SHARE of the rows is spread over several tasks; each set has HOT_SHARE such keys at most.
+HOT_SHARE = 1000
+# Numbers per block of an Arrow task.
+BLOCK_NUMBERS = 1 << 22
 
 
 def keys_of(s: KeySet) -> Column:
     return F.array(*[F.col(c).cast("string") for c in s])
 
 
-def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) -> DataFrame:
+def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
     """One pass over ``df`` for all sets: columns set, keys, then the aggregates.
 
-    Groups with a null key are dropped afterwards, told apart from rolled-up columns by
+    ``within`` names columns that part every group further; they come along. Groups with a null key are dropped afterwards, told apart from rolled-up columns by
     ``grouping_id``. Partial aggregation runs before the shuffle, so a hot group sends one row
     per task.
     """
@@ -37,8 +50,8 @@ def grouping_sets_agg(df: DataFrame, sets: list[KeySet], aggs: list[Column]) ->
         raise ValueError("two group sets have the same columns")
     cols = list(dict.fromkeys(c for s in sets for c in s))
     if len(cols) > MAX_COLUMNS:
-        return reduce(DataFrame.unionByName, [grouping_sets_agg(df, part, aggs) for part in _chunks(sets)])
-    wide = df.groupingSets([list(s) for s in sets], *cols).agg(F.grouping_id().alias("_gid"), *aggs)
+        return reduce(DataFrame.unionByName, [grouping_sets_agg(df, part, aggs, within) for part in _chunks(sets)])
+    wide = df.groupingSets([[*within, *s] for s in sets], *within, *cols).agg(F.grouping_id().alias("_gid"), *aggs)
     width = len(cols)
 
     def gid(s: KeySet) -> int:
@@ -109,63 +122,197 @@ def attach_set(
     return attach(bare, lookup.withColumnRenamed("keys", key), [key], "left", salt_on, cells=cells).drop(key)
 
 
-def value_lookup(parts: list[DataFrame]) -> DataFrame:
-    """(set, keys, values): all fitted numbers of a group in one map from item to number.
+def value_lookup(parts: list[DataFrame], items: dict[KeySet, list[str]]) -> DataFrame:
+    """(set_id, k1, k2, values): the fitted numbers of each group as an array in the order of its set's ``items``.
 
-    ``parts`` are (set, keys, item, value) tables; a group has as many items as were fitted for it.
+    ``parts`` are (set, keys, item, value) tables. Sets are numbered in the order of ``items``; what was not fitted is
+    null, and what is not listed is left out.
     """
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    entries = F.map_from_entries(F.collect_list(F.struct("item", "value")))
-    return rows.groupBy("set", "keys").agg(entries.alias("values"))
+    rows = reduce(DataFrame.unionByName, parts)
+    listed = [(set_name(s), n, i, p) for i, (s, names) in enumerate(items.items()) for p, n in enumerate(names)]
+    places = rows.sparkSession.createDataFrame(listed, "set string, item string, set_id int, pos int")
+    placed = rows.join(F.broadcast(places), ["set", "item"])  # one row per item of the plan
+    second = F.coalesce(F.get("keys", F.lit(1)), F.lit("")).alias("k2")
+    placed = placed.select("set_id", F.get("keys", F.lit(0)).alias("k1"), second, "pos", "value")
+    grouped = placed.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found"))
+    length = F.get(F.lit([len(n) for n in items.values()]).cast("array<int>"), "set_id")
+    known = F.map_from_entries("found")
+    filled = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.try_element_at(known, i))
+    values = F.when(F.size("found") == length, F.col("found.value")).otherwise(filled)
+    return grouped.select(*GROUP, values.alias("values"))
+
+
+@dataclass(frozen=True)
+class Pick:
+    """What becomes of the values of a row: ``base`` (an array column) and the values looked up stand one after the
+    other, and element i of the result is that at ``first[i]``, plus the row's ``fold`` where ``step[i]`` is 1."""
+
+    base: str
+    first: list[int]
+    step: list[int]
+    fold: str
+
+    def column(self, values: Column) -> Column:
+        first, step = F.lit(self.first).cast("array<int>"), F.lit(self.step).cast("array<int>")
+        return E.let(
+            F.struct(F.concat(self.base, values).alias("x"), F.col(self.fold).alias("f")),
+            lambda r: F.zip_with(first, step, lambda p, s: F.get(r["x"], p + s * r["f"])),
+        )
 
 
 def attach_values(
-    df: DataFrame, lookup: DataFrame, items: dict[KeySet, list[str]], salt_on: list[str] | None = None
-) -> tuple[DataFrame, list[str]]:
-    """Add one array<double> column per set with its items in order, one join per set.
+    df: DataFrame,
+    lookup: DataFrame | None,
+    items: dict[KeySet, list[str]],
+    wanted: dict[KeySet, list[str]] | None = None,
+    pick: Pick | None = None,
+    max_cells: int | None = None,
+) -> DataFrame:
+    """Add the array<double> ``VALUES``: the ``wanted`` items (all of ``items``) of every set, one set after the other.
 
-    Returns the table and the added columns. Unknown groups and items are null elements.
+    ``lookup`` is a :func:`value_lookup` laid out by ``items``. Unknown groups and null keys give nulls. ``pick`` makes
+    another array of them. Sets whose numbers together stay within ``max_cells`` (BROADCAST_CELLS) travel to the tasks,
+    where numpy picks each row's groups. All others are attached at once, however many they are: the rows are listed by
+    (set, keys), joined to the lookup and gathered.
     """
-    groups = {r["set"]: r["n"] for r in lookup.groupBy("set").agg(F.count("*").alias("n")).collect()}
-    # All keys first and all null filling last: the joins then chain without steps between them.
-    key_of = {s: f"_key_{at}" for at, s in enumerate(items)}
-    out = df.withColumns({k: _flat_key([F.col(c).cast("string") for c in s]) for s, k in key_of.items()})
-    filled, sent = {}, 0
-    # Short arrays first, so that the long ones pass through the fewest joins.
-    for s, wanted in sorted(items.items(), key=lambda kv: len(kv[1])):
-        key = key_of[s]
-        col = key.replace("_key_", "_values_")
-        names = F.array(*[F.lit(i) for i in wanted])
-        part = lookup.filter(F.col("set") == set_name(s)).select(
-            _flat_key([F.get("keys", F.lit(i)) for i in range(len(s))]).alias(key),
-            _pick(names, "values").alias(col),
-        )
-        cells = groups.get(set_name(s), 0) * (len(wanted) + 1)
-        # What one plan broadcasts is bounded in sum: the smallest sets first, the others are joined.
-        sent += cells
-        if sent > BROADCAST_CELLS:
-            cells = max(cells, BROADCAST_CELLS + 1)
-        out = attach(out, part, [key], "left", salt_on, cells=cells)
-        filled[col] = F.coalesce(F.col(col), F.array_repeat(F.lit(None).cast("double"), len(wanted)))
-    return out.drop(*key_of.values()).withColumns(filled), [f"_values_{at}" for at in range(len(items))]
-
-
-def spread_values(df: DataFrame, arrays: list[str], items: dict[KeySet, list[str]]) -> DataFrame:
-    """Arrays of :func:`attach_values` as one column per item."""
-    cols = {
-        name: F.get(F.col(a), F.lit(i)) for a, names in zip(arrays, items.values()) for i, name in enumerate(names)
+    max_cells = BROADCAST_CELLS if max_cells is None else max_cells
+    wanted = items if wanted is None else wanted
+    order = list(items)
+    ids = [order.index(s) for s in wanted]
+    if not ids:
+        empty = F.array().cast("array<double>")
+        out = df.withColumn(VALUES, pick.column(empty) if pick else empty)
+        return out.drop(pick.base, pick.fold) if pick else out
+    counts = lookup.filter(F.col("set_id").isin(ids)).groupBy("set_id").agg(F.count("*").alias("n"))
+    groups = {r["set_id"]: r["n"] for r in counts.collect()}  # one per set
+    cells = {i: groups.get(i, 0) * (len(wanted[order[i]]) + 1) for i in ids}
+    near, total = set(), 0
+    for i in sorted(ids, key=cells.get):
+        total += cells[i]
+        if total <= max_cells:
+            near.add(i)
+    at = {order[i]: {n: p for p, n in enumerate(items[order[i]])} for i in ids}
+    picks = {i: [at[order[i]][n] for n in wanted[order[i]]] for i in ids}
+    whole = all(picks[i] == list(range(len(items[order[i]]))) for i in ids)
+    part = lookup if whole else lookup.withColumn("values", _picked(picks, len(order)))
+
+    out = df
+    far = [i for i in ids if i not in near]
+    if far:
+        out = _gathered(out, part.filter(F.col("set_id").isin(far)), {i: order[i] for i in far})
+    here = [i for i in ids if i in near]
+    if here:
+        sets = {i: (order[i], len(picks[i])) for i in here}
+        out = _looked_up(out, part.filter(F.col("set_id").isin(here)), sets, None if far else pick)
+    if not far:
+        return out
+    parts, start = [], 1
+    for is_near, run in groupby(ids, key=near.__contains__):
+        run = list(run)
+        if is_near:
+            size = sum(len(picks[i]) for i in run)
+            parts.append(F.slice(VALUES, start, size))
+            start += size
+        else:
+            none = [F.array_repeat(F.lit(None).cast("double"), len(picks[i])) for i in run]
+            parts += [F.coalesce(F.try_element_at("_gathered", F.lit(i)), n) for i, n in zip(run, none)]
+    values = F.concat(*parts)
+    out = out.withColumn(VALUES, pick.column(values) if pick else values).drop("_gathered")
+    return out.drop(pick.base, pick.fold) if pick else out
+
+
+def _picked(picks: dict[int, list[int]], n_sets: int) -> Column:
+    places = F.lit([picks.get(i, []) for i in range(n_sets)]).cast("array<array<int>>")
+    return F.transform(F.get(places, "set_id"), lambda p: F.get("values", p))
+
+
+def _gathered(df: DataFrame, lookup: DataFrame, sets: dict[int, KeySet]) -> DataFrame:
+    """``df`` with ``_gathered``, a map from set number to values: one join on (set, keys) and one grouping by row.
+
+    Keys that many rows share are counted first; their rows, and copies of their lookup row, are dealt over as many
+    tasks as they need.
+    """
+    keyed = materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+    numbers = F.lit(list(sets)).cast("array<int>")
+    long = explode_sets(keyed, list(sets.values()), [ROW]).withColumn("set_id", F.get(numbers, "set_id"))
+    n = keyed.count()
+    share = F.ceil(F.col("n") * HOT_SHARE / max(1, n)).cast("int").alias("pieces")
+    hot = long.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > n / HOT_SHARE).select(*GROUP, share)
+    hot = F.broadcast(materialise(hot, "hot-keys"))  # HOT_SHARE rows per set at most
+    pieces = F.coalesce("pieces", F.lit(1))
+    dealt = long.join(hot, GROUP, "left").withColumn("piece", F.pmod(F.xxhash64(ROW), pieces).cast("int")).drop("pieces")
+    copies = lookup.join(hot, GROUP, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    found = dealt.join(copies, [*GROUP, "piece"]).groupBy(ROW)
+    found = found.agg(F.map_from_entries(F.collect_list(F.struct("set_id", "values"))).alias("_gathered"))
+    return keyed.join(found, ROW, "left").drop(ROW)
+
+
+def _looked_up(df: DataFrame, lookup: DataFrame, sets: dict[int, tuple[KeySet, int]], pick: Pick | None) -> DataFrame:
+    """``df`` with ``VALUES`` of sets whose size the caller has checked: their lookups are sent to the tasks as matrices."""
+    columns = list(dict.fromkeys(c for s, _ in sets.values() for c in s))
+    table = lookup.toArrow()
+    found = table.column("set_id").to_numpy() if table.num_rows else np.zeros(0, dtype=np.int32)
+    of = {i: table.filter(pa.array(found == i)).combine_chunks() for i in sets}
+    known = {
+        c: pc.unique(pa.chunked_array([of[i].column(f"k{s.index(c) + 1}") for i, (s, _) in sets.items() if c in s], type=pa.string()))
+        for c in columns
     }
-    return df.withColumns(cols).drop(*arrays)
-
-
-def _flat_key(parts: list[Column]) -> Column:
-    """One string per key; the length of the first part keeps ('a', 'bc') and ('ab', 'c') apart."""
-    if len(parts) == 1:
-        return parts[0]
-    return F.concat(F.length(parts[0]).cast("string"), F.lit("|"), *parts)
-
-
-def _pick(names: Column, values: str) -> Column:
-    return F.transform(names, lambda i: F.try_element_at(F.col(values), i))
+    known = {c: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for c, v in known.items()}
+    plan = []
+    for i, (s, width) in sets.items():
+        rows = of[i]
+        codes = [pc.index_in(rows.column(f"k{k + 1}"), value_set=known[c]).to_numpy().astype(np.int64) for k, c in enumerate(s)]
+        key = codes[0] if len(s) == 1 else codes[0] * len(known[s[1]]) + codes[1]
+        flat = pc.list_flatten(rows.column("values")).to_numpy(zero_copy_only=False).astype(float)
+        values = np.vstack([flat.reshape(len(key), width), np.full((1, width), np.nan)])
+        by_key = np.argsort(key)
+        plan.append((s, key[by_key], by_key, values))
+    shared = df.sparkSession.sparkContext.broadcast((known, plan))
+    base, fold = (pick.base, pick.fold) if pick else ("", "")
+    total = len(pick.first) if pick else sum(w for _, w in sets.values())
+    first, moved = (np.array(pick.first), np.flatnonzero(pick.step)) if pick else (None, None)
+    keys = {f"_k{j}": F.col(c).cast("string") for j, c in enumerate(columns)}
+    names, wide = [c for c in df.columns if c not in (base, fold)], BLOCK_NUMBERS
+
+    def look_up(batches):
+        known, plan = shared.value
+        step = max(1, wide // max(1, total))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                code = {}
+                for j, c in enumerate(columns):
+                    x = pc.index_in(part.column(part.schema.get_field_index(f"_k{j}")).cast(pa.string()), value_set=known[c])
+                    code[c] = pc.fill_null(x, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = []
+                for s, key, by_key, values in plan:
+                    own, ok = code[s[0]], code[s[0]] >= 0
+                    if len(s) > 1:
+                        own, ok = own * len(known[s[1]]) + code[s[1]], ok & (code[s[1]] >= 0)
+                    place = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
+                    ok &= (key[place] == own) if len(key) else False
+                    row = np.where(ok, by_key[place] if len(key) else 0, len(values) - 1)
+                    out.append(values[row])
+                if base:
+                    own = part.column(part.schema.get_field_index(base)).flatten().to_numpy(zero_copy_only=False)
+                    found = np.hstack([own.astype(float).reshape(part.num_rows, -1), *out])
+                    result = found[:, first]
+                    if len(moved):
+                        slot = part.column(part.schema.get_field_index(fold)).to_numpy()
+                        result[:, moved] = np.take_along_axis(found, first[moved] + slot[:, None], axis=1)
+                else:
+                    result = np.hstack(out)
+                flat = pa.array(result.ravel(), from_pandas=True)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * total)
+                kept = [part.column(part.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(ends, flat)], names=[*names, VALUES])
+
+    kept = [f for f in df.schema.fields if f.name in names]
+    schema = T.StructType([*kept, T.StructField(VALUES, T.ArrayType(T.DoubleType()))])
+    return df.withColumns(keys).mapInArrow(look_up, schema)
+
+
+def spread_values(df: DataFrame, items: dict[KeySet, list[str]]) -> DataFrame:
+    """The array of :func:`attach_values` as one column per item."""
+    names = [n for each in items.values() for n in each]
+    return df.withColumns({n: F.get(VALUES, F.lit(i)) for i, n in enumerate(names)}).drop(VALUES)
