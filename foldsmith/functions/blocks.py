@@ -45,3 +45,25 @@ def array_means(df: DataFrame, column: str, width: int) -> np.ndarray:
         if r["m"] is not None and np.isfinite(r["m"]):
             out[r["p"]] = r["m"]
     return out
+
+
+def array_sums(df: DataFrame, column: str, width: int, by: str) -> DataFrame:
+    """(by, pos, known, total) of each array position over the known values, per value of a column of few values."""
+
+    def sums(batches):
+        found: dict = {}
+        for x, part in blocks(batches, "x", width):
+            group = part.column(part.schema.get_field_index("g")).to_pylist()
+            for g in set(group):
+                own = x[[v == g for v in group]]
+                known, total = found.setdefault(g, (np.zeros(width, dtype=np.int64), np.zeros(width)))
+                known += (~np.isnan(own)).sum(axis=0)
+                total += np.nansum(own, axis=0)
+        for g, (known, total) in found.items():
+            yield pa.RecordBatch.from_pydict(
+                {"g": pa.array([g] * width, type=pa.string()), "pos": np.arange(width, dtype="int32"), "known": known, "total": total}
+            )
+
+    rows = df.select(F.col(column).alias("x"), F.col(by).cast("string").alias("g"))
+    per_task = rows.mapInArrow(sums, "g string, pos int, known long, total double")
+    return per_task.groupBy(F.col("g").alias(by), "pos").agg(F.sum("known").alias("known"), F.sum("total").alias("total"))
