@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.llm.substrings import KEY, LIST_CELLS
+from foldsmith.llm.tables import spread_join
 from foldsmith.llm.words import text_blocks
-from foldsmith.scratch import attach, materialise, short_lived
+from foldsmith.scratch import materialise, short_lived
 
 # A chunk ends after a line at which the rolling hash over the last ROLL lines is 0 modulo DIVISOR.
 ROLL, DIVISOR = 2, 3
@@ -197,17 +198,17 @@ def _repeats(texts: DataFrame, pairs: bool) -> DataFrame:
     """(node, digest, start, stop) of the chunks and pairs to remove."""
     place = "node long, digest long, start long, stop long, code long"
     units = materialise(texts.mapInArrow(lambda it: _unit_rows(it, pairs), place), "chunks").distinct()
-    often = units.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = attach(units, materialise(often, "repeated-chunks"), ["code"], "left_semi")
+    often = units.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
+    # A passage that stands in a third of all rows is one code: its rows are dealt over many tasks.
+    placed = spread_join(units, materialise(often, "repeated-chunks"), ["code"], [*KEY, "start"], "inner")
     found = _with_ranges(texts, placed, "inner").mapInArrow(_unit_texts, f"{place}, chunk binary")
     found = materialise(found.distinct().withColumn("bytes_of", F.sha2("chunk", 256)), "chunk-texts")
     # Equal code and equal bytes: the group key compares them. The first occurrence is found with partial sums.
     order = F.struct(F.col("node").isNull().alias("last"), "node", "digest", "start", "stop")
     first = found.groupBy("code", "chunk", "bytes_of").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = materialise(first.select("code", "bytes_of", "first"), "first-chunks")
+    first = materialise(first.select("code", "bytes_of", "first", "n"), "first-chunks")
     # The first occurrence itself stays, and so does one that overlaps it.
     same = F.col("node").eqNullSafe(F.col("first.node")) & (F.col("digest") == F.col("first.digest"))
     later = ~same | (F.col("start") >= F.col("first.stop"))
-    # A passage that stands in a third of all rows is one key: the look-up is broadcast, or salted by the place.
-    placed = attach(found.drop("chunk"), first, ["code", "bytes_of"], "inner", salt_on=[*KEY, "start"])
+    placed = spread_join(found.drop("chunk"), first, ["code", "bytes_of"], [*KEY, "start"], "inner")
     return placed.filter(later).select(*KEY, "start", "stop")
