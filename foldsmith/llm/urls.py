@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.llm.tables import look_up
+from foldsmith.llm.tables import spread_join
 from foldsmith.scratch import BROADCAST_CELLS, materialise
 
 PREFIX_DIGITS = 8  # 32 bits of the SHA-256 digest in hex
 OTHERWISE = "allow"
+# Verdicts are broadcast up to this many bytes, a digest and a verdict taking PLACE_BYTES.
+BROADCAST_BYTES, PLACE_BYTES = 2 << 20, 64
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -34,6 +36,11 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _place() -> Column:
+    """A 128-bit digest of host and path."""
+    return F.md5(F.concat("host", F.lit("\n"), "path"))
+
+
 def _expressions(host: Column, path: Column, lengths: list[tuple[int, int]]) -> Column:
     """The (host suffix, path prefix) pairs of the rules' lengths that a host and path have."""
     pairs = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in lengths])
@@ -57,7 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     rules by the first 32 bits of their digests, and the full digest confirms. Without a rule, or without ``://``,
     ``rule`` is null and the verdict is ``otherwise``.
 
-    Null urls have an empty host and path. Repeated rows come back as often as given. Rules with a null in any column
+    Null urls have an empty host and path, very long ones are compared like any other; an empty table gives no rows. A
+    host and path that very many rows share are dealt over several tasks. Repeated rows come back as often as given. Rules with a null in any column
     are ignored, repeated ones count once. Other columns of ``pages`` are not read. Only the distinct pairs of lengths
     reach the driver.
     """
@@ -77,16 +85,19 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     if not lengths:
         return split.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
 
-    distinct = split.select("host", "path").distinct()
-    expanded = distinct.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), lengths)).alias("x"))
-    hashed = expanded.select("host", "path", _digest(F.col("x.host"), F.col("x.path")).alias("full"))
+    # What was found for a host and path comes back by their digest, however long they are.
+    distinct = split.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("place", _place())
+    expanded = distinct.select("place", "n", F.explode(_expressions(F.col("host"), F.col("path"), lengths)).alias("x"))
+    hashed = expanded.select("place", "n", _digest(F.col("x.host"), F.col("x.path")).alias("full"))
     hashed = hashed.withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS))
     few = known.count() * len(known.columns) <= BROADCAST_CELLS
     met = hashed.join(F.broadcast(known) if few else known, "prefix").filter("full = digest")
     rank = F.struct(
         (F.col("host_length") + F.col("path_length")).alias("length"), "host_length", (F.col("verdict") == "block").alias("block"), "rule", "verdict"
     )
-    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    best = materialise(best.select("host", "path", "best.rule", "best.verdict"), "url-verdicts")
-    out = look_up(split, best, ["host", "path"])
+    best = met.groupBy("place", "n").agg(F.max(rank).alias("best"))
+    best = materialise(best.select("place", "n", "best.rule", "best.verdict"), "url-verdicts")
+    placed = split.withColumn("place", _place()).withColumn("turn", F.xxhash64(key))
+    size = best.agg(F.coalesce(F.sum(F.octet_length("rule") + PLACE_BYTES), F.lit(0))).first()[0]
+    out = placed.join(F.broadcast(best), "place", "left") if size <= BROADCAST_BYTES else spread_join(placed, best, ["place"], ["turn"])
     return out.select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
