@@ -161,3 +161,30 @@ def test_short_lived_tables_go(spark):
         kept = materialise(gone.filter("id > 0"), "kept", keep=True)
     assert kept.count() == 2
     assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+
+
+def test_category_ranks_need_no_window_over_all_values(spark):
+    """5,000 values in several ranges get the codes of one sorted list; every window over values has a range in its key."""
+    import re
+
+    from foldsmith.operators import encode
+
+    rows = spark.range(20000).select(
+        F.concat(F.lit("v"), (F.col("id") * 7919 % 5000).cast("string")).alias("c"), F.when(F.col("id") % 3 > 0, "x").alias("d")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    kept = encode.materialise
+    try:
+        encode.materialise = lambda df, name: (seen.append((df, kept(df, name))), seen[-1][1])[1]
+        index = encode.fit_index(rows, ["c", "d"])
+    finally:
+        encode.materialise = kept
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r["category"], r["value"]): r["code"] for r in index.collect()}
+    want = sorted({f"v{i}" for i in range(5000)})
+    assert got == {("d", "x"): 0.0, **{("c", v): float(i) for i, v in enumerate(want)}}
+    plan = seen[-1][0]._jdf.queryExecution().optimizedPlan().toString()
+    numbered = [x for x in re.findall(r"Window \[(.*)", plan) if "row_number" in x]
+    assert len(numbered) == 1 and re.search(r"\], \[category#\d+, range#\d+\]", numbered[0])
+    assert seen[0][1].select("range").distinct().count() > 1
