@@ -15,8 +15,8 @@ BUCKET_BYTES = 16 << 20
 ROW_BYTES = 16
 SEED = 8191
 GROUP = 1024
-# Copies of one row that a task writes out at once.
-COPIES = 1000
+# Copies of one row that a task writes out at once; copies are numbered if they would fill more than 1 / CROWDED of a bucket.
+COPIES, CROWDED = 1000, 4
 
 
 def size_of(text: str) -> Column:
@@ -43,7 +43,7 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     after the other are a random order of all rows; shard s is its s-th part, so that counts are at most one
     apart, and ``slot`` is the place inside the shard, gapless from 0.
 
-    Null texts count 16 bytes. Copies scatter, with different keys or equal in every column. Columns of ``docs`` called
+    Null texts count 16 bytes. Copies scatter, with different keys or, if they would crowd a bucket, equal in every column. Columns of ``docs`` called
     shard or slot give way to the new ones; any other names may occur. A very long text is a row like any other; a
     bucket holds one of any length. An empty table gives no rows.
     """
@@ -52,7 +52,7 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     n_buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     code = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names])
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    hashed = _numbered(docs.select(code.alias("code"), row.alias("row")), n_buckets, seed)
+    hashed = _numbered(docs.select(code.alias("code"), size_of(text).alias("size"), row.alias("row")), n_buckets, seed, bucket_bytes)
     offsets = materialise(_offsets(hashed.groupBy("bucket").agg(F.count("*").alias("rows"))), "bucket-offsets")
 
     scattered = hashed.repartition(n_buckets, "bucket").groupBy("bucket")
@@ -69,14 +69,15 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     return docs.sparkSession.read.schema(out.schema).parquet(path).select(*names, "shard", "slot")
 
 
-def _numbered(rows: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """(code, copy, row, bucket): rows equal in every column are numbered, and their numbers scatter them like other rows.
+def _numbered(rows: DataFrame, n_buckets: int, seed: int, bucket_bytes: int) -> DataFrame:
+    """(code, copy, row, bucket): rows equal in every column that would fill a good part of a bucket are numbered, and
+    their numbers scatter them like other rows. Fewer copies share a bucket.
 
     Which of them has which number does not matter, so they are counted, with partial counts before the shuffle, and
     written out again COPIES at a time; a row that repeats for a third of the table passes no task as a whole.
     """
-    often = rows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
-    often = materialise(often, "repeated-codes")
+    together = rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    often = materialise(together.filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes / CROWDED)).select("code"), "repeated-codes")
     known = look_up(rows, often.withColumn("again", F.lit(True)), ["code"])
     once = known.filter("again is null").select("code", F.lit(0).cast("long").alias("copy"), "row")
     # Different rows can have one code; the rows themselves are compared here.

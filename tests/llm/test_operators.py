@@ -472,6 +472,10 @@ def test_equal_rows_scatter_and_any_names_may_occur(spark):
     assert all(sorted(v) == list(range(100)) for v in slots.values()) and set(slots) == set(range(6))
     shares = collections.Counter(r["shard"] for r in got if r["doc_id"] == 7000)
     assert set(shares) == set(range(6)) and max(shares.values()) < 60
-    numbered = sharding._numbered(table.select(F.xxhash64("doc_id").alias("code"), F.struct("doc_id").alias("row")), 50, 1)
+    rows = table.select(F.xxhash64("doc_id").alias("code"), F.lit(40).alias("size"), F.struct("doc_id").alias("row"))
+    numbered = sharding._numbered(rows, 50, 1, 600)
     spread = [r["n"] for r in numbered.filter("row.doc_id = 7000").groupBy("bucket").agg(F.count("*").alias("n")).collect()]
     assert sum(spread) == 200 and len(spread) > 30 and max(spread) < 20
+    # Copies that leave room in a bucket stay together.
+    few = sharding._numbered(rows, 50, 1, 200 * 40 * 4).filter("row.doc_id = 7000")
+    assert few.select("bucket").distinct().count() == 1 and few.count() == 200
