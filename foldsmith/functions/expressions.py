@@ -44,6 +44,22 @@ def is_outlier(x: Column, mean: Column, sd: Column, width: float = 1.5) -> Colum
     return F.coalesce(beyond, F.lit(False))
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text. Wide plans are written as text: one call per number, not one per operator."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def is_outlier_sql(x: str, mean: str, sd: str, width: float = 1.5) -> str:
+    """:func:`is_outlier` as SQL text over column names."""
+    x, mean, sd, w = quoted(x), quoted(mean), quoted(sd), f"{float(width)!r}D"
+    return f"coalesce({x} < {mean} - {w} * {sd} OR {x} > {mean} + {w} * {sd}, false)"
+
+
 def min_max(x: Column, lo: Column, hi: Column) -> Column:
     return F.try_divide(x - lo, hi - lo)
 

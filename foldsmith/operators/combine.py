@@ -89,6 +89,11 @@ def clipped_columns(flags: tuple[str, ...], mode: str = "all", limit: int | None
     return dict(list(out.items())[:limit])
 
 
+def clipped_names(flags: tuple[str, ...], mode: str = "all", limit: int | None = None) -> list[str]:
+    """Names of :func:`clipped_columns`; needs no session."""
+    return list(dict.fromkeys(n for n, kind in combination_names(flags, mode) if kind == "comb"))[:limit]
+
+
 def add_combinations(df: DataFrame, flags: tuple[str, ...], mode: str = "all") -> DataFrame:
     cols = pair_columns(flags, mode)
     for form in TRIPLE_FORMS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions import expressions as E
@@ -42,13 +42,10 @@ def _chunks(names: list[str]) -> list[list[str]]:
 
 def _long(wide: DataFrame, nums: list[str], fields: tuple[str, ...]) -> DataFrame:
     """Wide aggregates named ``<field>_<position>`` to one row per number."""
-    each = F.array(
-        *[
-            F.struct(F.lit(n).alias("num"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
-            for i, n in enumerate(nums)
-        ]
-    )
-    return wide.select("set", "keys", F.inline(each))
+    each = [
+        f"named_struct('num', {E.text(n)}, " + ", ".join(f"'{f}', {f}_{i}" for f in fields) + ")" for i, n in enumerate(nums)
+    ]
+    return wide.selectExpr("set", "keys", f"inline(array({', '.join(each)}))")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -60,10 +57,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _value_rows(groups: DataFrame, nums: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per group row and number: GROUP columns, those carried along, ``num_id`` and ``value``."""
-    each = F.array(
-        *[F.struct(F.lit(i).alias("num_id"), F.col(n).cast("double").alias("value")) for i, n in enumerate(nums)]
-    )
-    return groups.select(*GROUP, *carry, F.inline(each))
+    each = [f"named_struct('num_id', {i}, 'value', CAST({E.quoted(n)} AS DOUBLE))" for i, n in enumerate(nums)]
+    return groups.select(*GROUP, *carry, F.expr(f"inline(array({', '.join(each)}))"))
 
 
 def _medians(groups: DataFrame, sets: list[KeySet], nums: list[str], direct_rows: int) -> DataFrame:
@@ -87,15 +82,12 @@ def fit_group_stats(
     for chunk in _chunks(nums):
         aggs = []
         for i, c in enumerate(chunk):
-            x = F.col(c)
-            aggs += [
-                F.count(x).alias(f"n_{i}"),
-                F.avg(x).alias(f"mean_{i}"),
-                F.min(x).cast("double").alias(f"min_{i}"),
-                F.max(x).cast("double").alias(f"max_{i}"),
-            ]
+            x = E.quoted(c)
+            aggs += [f"count({x}) AS n_{i}", f"avg({x}) AS mean_{i}"]
+            aggs += [f"CAST(min({x}) AS DOUBLE) AS min_{i}", f"CAST(max({x}) AS DOUBLE) AS max_{i}"]
             if direct:
-                aggs.append(F.median(x).alias(f"med_{i}"))
+                aggs.append(f"median({x}) AS med_{i}")
+        aggs = [F.expr(a) for a in aggs]
         parts.append(_long(grouping_sets_agg(df, sets, aggs), chunk, fields))
     stats = _union(parts)
     if not direct:
@@ -110,7 +102,7 @@ def fit_bounds(df: DataFrame, sets: list[KeySet], nums: list[str]) -> DataFrame:
     for chunk in _chunks(nums):
         aggs = []
         for i, c in enumerate(chunk):
-            aggs += [F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"sd_{i}")]
+            aggs += [F.expr(f"avg({E.quoted(c)}) AS mean_{i}"), F.expr(f"stddev_samp({E.quoted(c)}) AS sd_{i}")]
         parts.append(_long(grouping_sets_agg(df, sets, aggs), chunk, ("mean", "sd")))
     return _union(parts)
 
@@ -121,18 +113,18 @@ def _kept(
     """GROUP columns, those carried along, and the numbers, null where the outlier rule takes the value out."""
     per_group = numbered_groups(bounds, sets).groupBy(*GROUP).agg(
         *[
-            F.max(F.when(F.col("num") == n, F.col(f))).alias(f"_{f}_{i}")
+            F.expr(f"max(CASE WHEN num = {E.text(n)} THEN {f} END) AS _{f}_{i}")
             for i, n in enumerate(nums)
             for f in ("mean", "sd")
         ]
     )
     rows = attach(explode_sets(df, sets, [*carry, *nums]), per_group, GROUP)
 
-    def kept(i: int, n: str) -> Column:
-        out = E.is_outlier(F.col(n), F.col(f"_mean_{i}"), F.col(f"_sd_{i}"), width)
-        return F.when(~out, F.col(n)).alias(n)
+    def kept(i: int, n: str) -> str:
+        out = E.is_outlier_sql(n, f"_mean_{i}", f"_sd_{i}", width)
+        return f"CASE WHEN NOT {out} THEN {E.quoted(n)} END AS {E.quoted(n)}"
 
-    return rows.select(*GROUP, *carry, *[kept(i, n) for i, n in enumerate(nums)])
+    return rows.selectExpr(*GROUP, *[E.quoted(c) for c in carry], *[kept(i, n) for i, n in enumerate(nums)])
 
 
 def outlier_flags(
@@ -215,15 +207,11 @@ def fit_normalised_stats(
         rows = _kept(df, bounds, sets, chunk, width)
         aggs = []
         for i, c in enumerate(chunk):
-            x = F.col(c)
-            aggs += [
-                F.min(x).cast("double").alias(f"lo_{i}"),
-                F.max(x).cast("double").alias(f"hi_{i}"),
-                F.avg(x).alias(f"mean_{i}"),
-            ]
+            x = E.quoted(c)
+            aggs += [f"CAST(min({x}) AS DOUBLE) AS lo_{i}", f"CAST(max({x}) AS DOUBLE) AS hi_{i}", f"avg({x}) AS mean_{i}"]
             if direct:
-                aggs.append(F.median(x).alias(f"med_{i}"))
-        part = _long(named_groups(rows.groupBy(*GROUP).agg(*aggs), sets), chunk, fields)
+                aggs.append(f"median({x}) AS med_{i}")
+        part = _long(named_groups(rows.groupBy(*GROUP).agg(*[F.expr(a) for a in aggs]), sets), chunk, fields)
         if not direct:
             part = part.join(_medians(rows, sets, chunk, direct_rows), ["set", "keys", "num"], "left")
         parts.append(part)
