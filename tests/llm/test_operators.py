@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldsmith.llm import decontaminate, lines, mixing, neardup, quality, secrets, sharding, substrings, toxicity, urls
+from foldsmith.llm import tables as text_tables
 from foldsmith.scratch import fresh_path
 from tests.llm import fixture
 
@@ -407,7 +408,7 @@ def judged(url):
     return host, path, best[1], best[2]
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     known = [
         None, "", "no scheme", "http://", "http://com", "http://com/", "HTTP://WWW.Example.COM/en/x?y#z", "https://a.example.com/en/", "https://example.com/en",
         "https://notexample.com/en/1", "x://b.net/es/a://c.com/", "x://net/fr/?q", "x://net/fr", "http://a.com?u=/en/", "http://exämple.com/é", "ftp://.com/", "http://a..net/es/" + "p" * 50000,
@@ -417,6 +418,13 @@ def test_urls(spark):
     rules = spark.createDataFrame([*urls.RULES, urls.RULES[0], (None, "x", "/"), ("block", None, "/")], "verdict string, host string, path string")
     got = urls.judge(table, rules).collect()
     assert counted(tuple(r) for r in got) == counted((i, *judged(u)) for i, u in data)
+    # The way of large tables: shuffled by digest, here with every page of one host and path dealt over tasks.
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(text_tables, "LEAST_ROWS", 1)
+    many = table.union(spark.createDataFrame([(900 + i, "http://www.example.com/en/same", "h") for i in range(30)], table.schema))
+    got = urls.judge(many, rules).collect()
+    more = [(900 + i, "http://www.example.com/en/same") for i in range(30)]
+    assert counted(tuple(r) for r in got) == counted((i, *judged(u)) for i, u in [*data, *more])
     nothing = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r["verdict"] for r in urls.judge(table, nothing).collect()} == {"allow"}
 
