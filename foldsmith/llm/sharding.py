@@ -41,7 +41,8 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     First pass: a seeded hash of the whole row scatters rows uniformly into buckets of about ``bucket_bytes``.
     Second pass: each bucket is put in a fixed order, Fisher-Yates shuffled (``shuffle``) and written. The buckets one
     after the other are a random order of all rows; shard s is its s-th part, so that counts are at most one
-    apart, and ``slot`` is the place inside the shard, gapless from 0.
+    apart, and ``slot`` is the place inside the shard, gapless from 0. The order follows from the rows, the seed and
+    ``bucket_bytes``, whatever the files or tasks the rows come in.
 
     Null texts count 16 bytes. Copies scatter, with different keys or, if they would crowd a bucket, equal in every column. Columns of ``docs`` called
     shard or slot give way to the new ones; any other names may occur. A very long text is a row like any other; a
@@ -55,9 +56,10 @@ def shard(docs: DataFrame, n_shards: int, path: str, text: str = "text", seed: i
     hashed = _numbered(docs.select(code.alias("code"), size_of(text).alias("size"), row.alias("row")), n_buckets, seed, bucket_bytes)
     offsets = materialise(_offsets(hashed.groupBy("bucket").agg(F.count("*").alias("rows"))), "bucket-offsets")
 
-    scattered = hashed.repartition(n_buckets, "bucket").groupBy("bucket")
+    # Bucket b is partition b and nothing else is, so the random numbers that its rows get follow from seed and b alone.
+    scattered = hashed.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
     filled = scattered.agg(F.sort_array(F.collect_list(F.struct("code", "copy", "row"))).alias("rows"))
-    shuffled = look_up(filled, offsets, ["bucket"]).select("offset", F.shuffle("rows", seed).alias("rows"))
+    shuffled = look_up(filled.select("bucket", F.shuffle("rows", seed).alias("rows")), offsets, ["bucket"])
     placed = shuffled.select("offset", F.posexplode("rows").alias("pos", "item"))
     place = F.col("offset") + F.col("pos")
     # Whole-number division: shard s begins at place ceil(s * rows / n_shards).
@@ -86,4 +88,4 @@ def _numbered(rows: DataFrame, n_buckets: int, seed: int, bucket_bytes: int) ->
     least, most = F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
     copies = parts.repartition("code", "part").select("code", F.explode(F.sequence(least, most)).alias("copy"), "row")
     bucket = F.pmod(F.when(F.col("copy") == 0, F.col("code")).otherwise(F.xxhash64(F.lit(seed), "code", "copy")), F.lit(n_buckets))
-    return once.unionByName(copies).withColumn("bucket", bucket)
+    return once.unionByName(copies).withColumn("bucket", bucket.cast("int"))
