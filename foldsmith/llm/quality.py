@@ -79,7 +79,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Fields of ``quality``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost (words on failed
     lines), kept. ``cleaned`` is the text without failed lines; blank lines stay. A null text counts as empty,
-    has no words and fails. Everything of a row is worked out from that row; nothing is shuffled.
+    has no words and fails; so does a table's every empty text, while an empty table gives no rows. Repeated rows come back
+    as often as given. A column of ``docs`` may have any name, since all are kept inside ``row``. Everything of a row is
+    worked out from that row, however long its text; nothing is shuffled.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.split("_body", "\n", -1)
@@ -96,22 +98,20 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     out = out.withColumn("_sorted", F.when(some, F.sort_array(placed)).otherwise(F.slice(placed, 1, 0)))
-    line = F.transform(
-        F.filter(lines, lambda x: x.rlike(NOT_SPACE)),
-        lambda x: F.struct(x.alias("line"), F.size(word_array(x)).alias("words")),
-    )
+    line = F.transform(lines, lambda x: F.struct(x.alias("line"), F.size(word_array(x)).alias("words")))
     out = out.withColumn("_lines", line).withColumn("_at", _repeated(F.col("_sorted")))
-    out = out.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x["words"].alias("words"), line_failed(x["line"], x["words"]).alias("bad"))))
-    plain = F.transform("_lines", lambda x: x["line"])
+    # Each line is judged once; blank lines, which have no words, never fail.
+    bad = lambda x: (x["words"] > 0) & line_failed(x["line"], x["words"])
+    judged = lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), bad(x).alias("bad"))
+    out = out.withColumn("_judged", F.transform("_lines", judged))
+    out = out.withColumn("_plain", F.transform(F.filter("_lines", lambda x: x["words"] > 0), lambda x: x["line"]))
     lost = F.aggregate("_judged", F.lit(0), lambda s, x: s + F.when(x["bad"], x["words"]).otherwise(0))
-    cleaned = F.array_join(
-        F.filter(lines, lambda x: ~x.rlike(NOT_SPACE) | ~line_failed(x, F.size(word_array(x)))), "\n"
-    )
+    cleaned = F.array_join(F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
     counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("_body", SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("_body") - F.length(F.translate("_body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct(plain))).cast("long").alias("n_dup_lines"),
+        (F.size("_plain") - F.size(F.array_distinct("_plain"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("_at")).cast("long").alias("n_repeat_words"),
         lost.cast("long").alias("n_lost"),
         # Not deterministic to the optimizer, so that no filter on a verdict is pushed into the expressions above,
