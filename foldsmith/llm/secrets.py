@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,10 @@ def _queries(rules: tuple[Rule, ...]) -> list[tuple[int, int, int, str]]:
 
 def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """The inverted index (trigram, node) over the trigrams that some query asks for."""
-    low = F.lower("text")
-    present = F.filter(F.array(*[F.lit(t) for t in vocabulary]), lambda t: F.contains(low, t))
-    return docs.select("node", F.explode(present).alias("trigram"))
+    # One compiled test per trigram on a text that is lower-cased once.
+    lowered = docs.select("node", F.lower("text").alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]))
+    return lowered.select("node", F.explode(present).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -73,25 +75,52 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return full.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end) of the leftmost, non-overlapping matches that count, in code points."""
-    pattern = F.lit(rule.pattern)
+    """Array of (start, order, end) of the leftmost, non-overlapping matches that count, in code points.
+
+    Ends are running sums. n matches are summed in sqrt(n) runs of sqrt(n) matches, so that growing arrays stay short.
+    """
     between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    matched = F.regexp_extract_all(text, pattern, F.lit(0))
+    matched = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     long_enough = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
-    steps = F.arrays_zip(
-        F.slice(between, F.lit(1), F.size(matched)).alias("gap"),
-        F.transform(matched, lambda m: F.length(m)).alias("length"),
-        F.transform(matched, long_enough).alias("counts"),
+    step = lambda m, gap: F.struct(gap.alias("gap"), F.length(m).alias("length"), long_enough(m).alias("counts"))
+    # The text after the last match follows no match and is left out.
+    steps = F.filter(F.zip_with(matched, between, step), lambda x: x["length"].isNotNull())
+    return _named(steps, lambda found: _in_runs(found, order))
+
+
+def _in_runs(steps: Column, order: int) -> Column:
+    width = F.greatest(F.ceil(F.sqrt(F.size(steps))), F.lit(1)).cast("int")
+    runs = F.transform(
+        F.filter(F.sequence(F.lit(0), width), lambda k: k * width < F.size(steps)),
+        lambda k: F.slice(steps, k * width + 1, width),
     )
-    steps = steps.cast("array<struct<gap:int,length:int,counts:boolean>>")
+    return F.flatten(_named(runs, lambda r: F.zip_with(r, _run_starts(r), lambda run, at: _run_spans(run, at, order))))
+
+
+def _run_starts(runs: Column) -> Column:
+    """Place of each run in the text: the lengths of all earlier ones."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda s, x: s + x["gap"] + x["length"])
+    step = lambda s, run: F.struct(
+        (s["at"] + total(run)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+    )
+    return F.aggregate(runs, empty, step, lambda s: s["starts"])
+
+
+def _run_spans(run: Column, at: Column, order: int) -> Column:
+    kind = "array<struct<start:int,order:int,end:int>>"
     span = lambda s, x: F.struct(
         (s["at"] + x["gap"]).alias("start"), F.lit(order).alias("order"), (s["at"] + x["gap"] + x["length"]).alias("end")
     )
-    kind = "array<struct<start:int,order:int,end:int>>"
     return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")),
+        run,
+        F.struct(at.alias("at"), F.array().cast(kind).alias("spans")),
         lambda s, x: F.struct(
             (s["at"] + x["gap"] + x["length"]).alias("at"),
             F.when(x["counts"], F.concat(s["spans"], F.array(span(s, x)))).otherwise(s["spans"]).cast(kind).alias("spans"),
@@ -108,7 +137,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     only they are searched with its pattern; a rule without mandatory trigrams searches every document.
 
     A null text is empty. Repeated rows come back as often as given, rows with one key share its postings, and
-    rows with a null key, which postings cannot name, are searched with every rule. Other columns are not read.
+    rows with a null key, which postings cannot name, are searched with every rule. Other columns are not read. An empty table gives no rows; a
+    very long text is searched as a whole.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).alias("node"), body.alias("text"))
