@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm.circulant import band_keys, signature
 from foldsmith.llm.components import connected_components
-from foldsmith.llm.tables import look_up
+from foldsmith.llm.tables import deal_join, look_up, spread_join
 from foldsmith.llm.words import Words, long_lists, mix, shingle_sets, text_blocks
 from foldsmith.scratch import attach, materialise, short_lived
 
@@ -89,7 +89,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     sets = _sets_of(docs, nodes, key, text)
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.join(right, "v").join(left, "u")
+    # A leader or a document may stand in very many pairs; those are dealt over tasks.
+    both = deal_join(deal_join(pairs, right, ["v"], ["u"]).select("u", "v", "sv"), left, ["u"], ["v"])
     common = F.size(F.array_intersect("su", "sv"))
     enough = 100 * common >= SIMILARITY * (F.size("su") + F.size("sv") - common)
     return materialise(both.filter(enough).select("u", "v").distinct(), "links")
@@ -128,14 +129,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = first.filter("class is null or class = node").drop("class")
 
     banded = first.select("node", "n", *SKETCH, F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"))
     shared = materialise(shared.filter("least < most").drop("most"), "shared-bands")
-    buckets = materialise(banded.join(shared, "band"), "buckets")
+    buckets = materialise(spread_join(banded, shared, ["band"], ["node"], "inner"), "buckets")
 
-    leaders = buckets.filter("node = least").distinct().alias("a")
-    star = buckets.alias("b").join(
-        leaders, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & _near("a", "b")
-    )
+    leaders = buckets.filter("node = least").distinct().select("band", F.struct("node", "n", *SKETCH).alias("a"))
+    members_of = buckets.select("band", "node", F.struct("node", "n", *SKETCH).alias("b"))
+    star = deal_join(members_of, leaders, ["band"], ["node"]).filter((F.col("a.node") < F.col("b.node")) & _near("a", "b"))
     links = _verified(star.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), slim, "node", "text")
     groups = materialise(connected_components(links), "groups")
 
@@ -176,8 +176,8 @@ def _rare_buckets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
     """
     sets = _sets_of(docs, nodes.select("node"), key, text)
     listed = materialise(sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("band")), "listed")
-    common = listed.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1")
-    counted = listed.join(materialise(common, "shingle-counts"), "band", "left")
+    common = listed.groupBy("band").agg(F.count("*").alias("df"), F.count("*").alias("n")).filter("df > 1")
+    counted = spread_join(listed, materialise(common, "shingle-counts"), ["band"], ["node"])
     ordered = counted.groupBy("node", "n").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "band"))).alias("order")
     )

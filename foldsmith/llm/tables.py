@@ -31,7 +31,24 @@ def spread_join(df: DataFrame, lookup: DataFrame, on: list[str], place: list[str
     most = max(LEAST_ROWS, total // HOT_KEYS)
     pieces = F.greatest(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     hot = F.broadcast(materialise(lookup.filter(F.col("n") > most).select(*on, pieces.alias("_pieces")), "hot-keys"))
-    piece = F.pmod(F.xxhash64(*place), F.coalesce("_pieces", F.lit(1))).cast("int")
-    dealt = df.join(hot, on, "left").withColumn("_piece", piece).drop("_pieces")
     copies = lookup.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
-    return dealt.join(copies, [*on, "_piece"], how).drop("_piece")
+    return _dealt(df, hot, on, place).join(copies, [*on, "_piece"], how).drop("_piece")
+
+
+def deal_join(df: DataFrame, lookup: DataFrame, on: list[str], place: list[str], how: str = "inner") -> DataFrame:
+    """Like ``spread_join``, with a lookup that has no counts: the rows of ``df`` are counted by key here.
+
+    Only the lookup's rows of the counted hot keys are copied, so wide ones, such as sets, are shuffled once.
+    """
+    counts = df.groupBy(*on).agg(F.count("*").alias("n"))
+    most = max(LEAST_ROWS, df.count() // HOT_KEYS)
+    pieces = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(materialise(counts.filter(F.col("n") > most).select(*on, pieces.alias("_pieces")), "hot-keys"))
+    copied = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+    copies = lookup.join(hot, on, "left").withColumn("_piece", copied).drop("_pieces")
+    return _dealt(df, hot, on, place).join(copies, [*on, "_piece"], how).drop("_piece")
+
+
+def _dealt(df: DataFrame, hot: DataFrame, on: list[str], place: list[str]) -> DataFrame:
+    piece = F.pmod(F.xxhash64(*place), F.coalesce("_pieces", F.lit(1))).cast("int")
+    return df.join(hot, on, "left").withColumn("_piece", piece).drop("_pieces")

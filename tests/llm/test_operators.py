@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm import decontaminate, lines, mixing, neardup, quality, secrets, sharding, substrings, toxicity, urls
 from foldsmith.llm import tables as text_tables
-from foldsmith.scratch import fresh_path
+from foldsmith.scratch import fresh_path, materialise
 from tests.llm import fixture
 
 
@@ -133,6 +133,17 @@ def test_shards(spark, docs, rows, bucket_bytes):
     assert counted((r["doc_id"], r["shard"], r["slot"]) for r in again.collect()) == counted((r["doc_id"], r["shard"], r["slot"]) for r in got)
 
 
+def test_shards_do_not_depend_on_the_layout(spark, docs):
+    """The same rows in another order, other files and other tasks get the same places."""
+    other = materialise(docs.orderBy(F.xxhash64("doc_id", "text")).repartition(7), "other-layout")
+    places = []
+    for n, table in enumerate((docs, other)):
+        out = sharding.shard(table, 5, fresh_path(spark, f"layout-{n}"), bucket_bytes=2000)
+        assert table.count() == out.count()
+        places.append(counted((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in out.collect()))
+    assert places[0] == places[1]
+
+
 # --- decontamination -----------------------------------------------------------------------
 
 ITEMS = [
@@ -240,6 +251,23 @@ def test_secrets(spark):
     assert more[10] == {"repo_token"} and more[13] == {"signed_token"} and more[14] == {"private_key"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 10, 17, 5000])
+def test_secrets_of_texts_with_many_matches(spark, n):
+    text = "".join(f"é {'deadbeef' * 2 if i % 3 else 'api_key=abc'} token: {i:012d}x\n" for i in range(n))
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["found"]
+    assert [(s["start"], s["order"], s["end"]) for s in got if s["order"] < 3] == sorted(fixture.secret_spans(text))
+
+
+def test_joins_deal_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(text_tables, "LEAST_ROWS", 5)
+    rows = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"))
+    other = materialise(spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")), "dealt-lookup")
+    for how in ("inner", "left"):
+        want = counted(map(tuple, rows.join(other, "k", how).select("k", "id", "x").collect()))
+        dealt = text_tables.deal_join(rows, other, ["k"], ["id"], how)
+        assert counted(map(tuple, dealt.select("k", "id", "x").collect())) == want
+
+
 def test_trigram_queries():
     from foldsmith.llm.trigrams import clauses, trigrams
 
