@@ -76,7 +76,7 @@ def fit_group_stats(
     Everything but the median aggregates in one pass per chunk of numbers. The median shares that
     pass while the table is small enough for its buffers, else it is found by bracketing.
     """
-    direct = fits_direct(df, direct_rows)
+    direct = fits_direct(df, direct_rows, min(len(nums), CHUNK))
     fields = ("n", "mean", "min", "max") + (("med",) if direct else ())
     parts = []
     for chunk in _chunks(nums):
@@ -199,7 +199,7 @@ def fit_normalised_stats(
     Scaling is affine, so the scaled mean and median follow from the unscaled ones: one pass over
     the kept values, no second one over scaled rows.
     """
-    direct = fits_direct(df, direct_rows)
+    direct = fits_direct(df, direct_rows, min(len(nums), CHUNK))
     bounds = materialise(bounds, "bounds")
     fields = ("lo", "hi", "mean") + (("med",) if direct else ())
     parts = []
