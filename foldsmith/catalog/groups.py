@@ -409,6 +409,5 @@ def corr_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corr_drop", SQL_CORR + "SELECT DISTINCT dropped FROM m WHERE abs(r) > 0.5")
 def corr_drop(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = correlation.correlation_matrix(_corr_input(spark, sf), CORR_COLUMNS)
-    names = F.array(*[F.lit(c) for c in CORR_COLUMNS])
-    return correlation.drop_list(matrix, 0.5).select(F.get(names, "j").alias("dropped"))
+    gone = correlation.drop_correlated(_corr_input(spark, sf), CORR_COLUMNS, 0.5)  # column names
+    return spark.createDataFrame([(c,) for c in gone], "dropped string")
