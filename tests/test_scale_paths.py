@@ -1,12 +1,13 @@
 """The ways taken beyond the size checks give the same results as the short ways."""
 
+import re
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldsmith.operators import groupstats, medians
-from foldsmith.scratch import attach, salted_join
+from foldsmith.scratch import attach, materialise, salted_join
 
 
 def skewed(spark, n=6000):
@@ -134,27 +135,90 @@ def test_stale_stages_run_again(spark):
     assert StageStore(spark, root, "b").run(steps)[1] == ["one"]
 
 
-def test_correlation_blocks_scan_once_each(spark, monkeypatch):
-    """Three blocks give the same drops as one, with one scan for the means and one per block pair."""
+def correlated_rows(spark, n, width):
+    """Columns in groups that share a signal, some with nulls, a constant and twins of either sign."""
     from foldsmith.functions import expressions as E
+
+    def column(k):
+        base = E.uniform(6, k % 7, F.col("id"))
+        value = base + E.uniform(8, k, F.col("id")) * (0.02 if k % 3 else 2.0)
+        if k % 11 == 5:
+            return F.when(F.col("id") % (k + 2) > 0, value)
+        return F.lit(3.0) if k % 13 == 12 else value * (-1 if k % 2 else 1)
+
+    return spark.range(n).select(F.array(*[column(k) for k in range(width)]).alias("x"))
+
+
+def test_correlation_blocks_scan_once_each(spark, monkeypatch):
+    """Ten blocks give the drops of brute force with at most one scan each, which reads the blocks it needs; angles and
+    earlier drops leave fewer pairs to compare."""
+    import numpy as np
+
     from foldsmith.operators import correlation
 
-    cols = [E.uniform(6, i, F.col("id")) for i in range(5)]
-    rows = spark.range(300).select(F.array(*cols, cols[0] * 2 + 1, cols[3] * -1).alias("x"))
+    width, limit = 60, 0.9
+    rows = materialise(correlated_rows(spark, 400, width), "rows")
+    order = list(range(width - 1, -1, -1))
+    x = np.array([[np.nan if v is None else v for v in r["x"]] for r in rows.collect()])[:, order]
+    want = set()
+    for j in range(width):
+        for i in range(j):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            if a.std() > 1e-9 and b.std() > 1e-9 and abs(np.corrcoef(a, b)[0, 1]) > limit:
+                want.add(order[j])
+    assert 10 < len(want) < width - 10
+    assert correlation.drop_positions(rows, "x", order, limit) == want
+
     scans = []
-    for name in ("array_means", "array_correlation"):
-        kept = getattr(correlation, name)
-        monkeypatch.setattr(correlation, name, lambda *a, kept=kept, name=name, **k: scans.append(name) or kept(*a, **k))
-    order = [6, 5, 4, 3, 2, 1, 0]
-    assert correlation.drop_positions(rows, "x", order, 0.9, block=3) == {3, 0}
-    assert scans.count("array_means") == 1 and scans.count("array_correlation") == 6
-    assert correlation.drop_positions(rows, "x", order, 0.9) == {3, 0}
+    kept = correlation.array_correlation
+
+    def counted(df, column, order, rows=None, cols=None, means=None, wanted=None):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans.append((int(wanted.sum()), sorted(set(re.findall(r"b\d+(?=:array)", plan)))))
+        return kept(df, column, order, rows, cols, means, wanted)
+
+    monkeypatch.setattr(correlation, "array_correlation", counted)
+    assert correlation.drop_positions(rows, "x", order, limit, block=6) == want
+    pivots, blocks = scans[0], scans[1:]
+    assert pivots[0] <= correlation.PIVOTS * width and len(blocks) <= 10
+    assert sum(n for n, _ in blocks) < width * (width - 1) / 4
+    assert any("b0" not in read and read for _, read in blocks)
+
+
+def two_ends(spark):
+    """A group of two far clusters with the middle ranks apart, one with a heavy tail, one small."""
+    low = F.when(F.col("id") % 2 == 0, 1.0 + F.col("id") * 1e-6).otherwise(1e9 + F.col("id"))
+    tail = F.exp(F.col("id") * 0.2)
+    return spark.range(3000).select(F.lit("ends").alias("c"), low.alias("x")).union(
+        spark.range(3001).select(F.lit("tail"), tail)
+    ).union(spark.range(5).select(F.lit("few"), F.col("id").cast("double")))
+
+
+def test_no_sort_of_medians_exceeds_the_limit(spark, monkeypatch):
+    """Two clusters, a heavy tail and a small group: exact, and no group sorts more distinct values than allowed."""
+    df = two_ends(spark)
+    sorts = []
+    kept = medians._ranked
+
+    def counted(inner, state, keys):
+        held = inner.join(state, keys).groupBy(*keys).agg(F.count("*").alias("n"))
+        sorts.extend(r["n"] for r in held.collect())
+        return kept(inner, state, keys)
+
+    monkeypatch.setattr(medians, "_ranked", counted)
+    long = df.select("c", F.col("x").alias("value"))
+    # Brackets of half the ranks, so that narrowing has work to do.
+    got, missed = medians._one_bracket(long, ["c"], 0.4, 20)
+    assert missed.isEmpty()
+    assert {r["c"]: r["med"] for r in got.collect()} == {k: pytest.approx(v, rel=1e-12) for k, v in want_medians(df.collect()).items()}
+    assert sorts and max(sorts) <= 20
 
 
 def test_short_lived_tables_go(spark):
     import os
 
-    from foldsmith.scratch import materialise, short_lived
+    from foldsmith.scratch import short_lived
 
     with short_lived(spark):
         gone = materialise(spark.range(3), "gone")
@@ -165,8 +229,6 @@ def test_short_lived_tables_go(spark):
 
 def test_category_ranks_need_no_window_over_all_values(spark):
     """5,000 values in several ranges get the codes of one sorted list; every window over values has a range in its key."""
-    import re
-
     from foldsmith.operators import encode
 
     rows = spark.range(20000).select(
