@@ -51,6 +51,32 @@ def test_statistics_same_on_both_ways(spark):
         assert far[k] == pytest.approx(short[k], rel=1e-9)
 
 
+def test_statistics_list_no_row_per_set_and_number(spark, monkeypatch):
+    """Counts by cells bring the middle of many numbers and sets; only cells with several values are read again."""
+    from foldsmith.operators import histograms
+
+    monkeypatch.setattr(histograms, "CELLS_PER_NUMBER", 8)
+    monkeypatch.setattr(histograms, "BLOCK_NUMBERS", 500)
+    monkeypatch.setattr(histograms, "HELD_ROWS", 40)
+    nan = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 4 > 0, F.col("x"))
+    zero = F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0)
+    df = skewed(spark, 1500).withColumns({"few": (F.col("id") % 3).cast("double"), "odd": nan, "z": zero})
+    df = df.withColumns({"none": F.lit(None).cast("double"), "d": F.when(F.col("id") % 9 > 0, F.col("d"))})
+    nums, sets = ["x", "few", "odd", "none"], [("c",), ("d",), ("c", "d"), ("id",)]
+    rows = groupstats.explode_sets(df, sets, nums)
+    each = [F.median(n).alias(n) for n in nums]
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in rows.groupBy("set_id", "k1", "k2").agg(*each).collect()}
+    for source, own in ((df, sets), (rows, None)):
+        got = medians.wide_medians(source, own, nums).collect()
+        assert len(got) == len({tuple(r)[:4] for r in got}) == sum(v is not None for each in want.values() for v in each)
+        for r in got:
+            assert r["med"] == pytest.approx(want[tuple(r)[:3]][r["num_id"]], rel=1e-12, nan_ok=True)
+    plan = groupstats.fit_group_stats(df, sets[:3], ["few"], 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+    counted = histograms.cell_counts(df, [("z",)], ["few"], [[0.5, 1.5]]).filter("set_id >= 0")
+    assert {tuple(r) for r in counted.groupBy("k1", "cell").agg(F.sum("n")).collect()} == {("0.0", c, 500) for c in (1, 2, 3)}
+
+
 def test_salted_join_equals_broadcast(spark):
     df = skewed(spark, 500).withColumn("c", F.when(F.col("id") % 7 != 0, F.col("c")))
     lookup = df.filter("c is not null").groupBy("c").agg(F.count("*").alias("n"))
