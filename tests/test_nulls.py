@@ -114,3 +114,19 @@ def test_split_is_stable(spark):
     b = {r[0]: r[1] for r in splits.holdout(df.filter("id % 3 = 0").repartition(5), "id").collect()}
     assert all(a[k] == v for k, v in b.items())
     assert 0.15 < sum(v == "holdout" for v in a.values()) / 2000 < 0.25
+
+
+def test_combinations_by_blocks_are_those_of_rows(spark, monkeypatch):
+    """Nulls, NaN and numbers above 1 go the way of the expressions; other columns stay as they are."""
+    from foldsmith.operators import combine
+
+    monkeypatch.setattr(combine, "BLOCK_NUMBERS", 300)
+    values = [None, 0.0, 1.0, 0.3, 2.0, float("nan")]
+    rows = [(i, "x" if i % 3 else None, *(values[i // 6**k % 6] for k in range(4))) for i in range(6**4)]
+    df = spark.createDataFrame(rows, "id long, s string, a double, b double, c double, d double")
+    for flags in (("a", "b", "c", "d"), ("a", "b"), ("a",)):
+        for mode in ("all", "legacy"):
+            own = combine.with_combinations(df, flags, "got", mode)
+            assert own.columns == [*df.columns, "got"]
+            both = own.withColumn("want", combine.combination_array(flags, mode))
+            assert both.filter(F.col("got").eqNullSafe(F.col("want"))).count() == len(rows)

@@ -77,8 +77,8 @@ def test_statistics_list_no_row_per_set_and_number(spark, monkeypatch):
     assert {tuple(r) for r in counted.groupBy("k1", "cell").agg(F.sum("n")).collect()} == {("0.0", c, 500) for c in (1, 2, 3)}
 
 
-def test_statistics_of_counted_rows_are_those_of_all_rows(spark):
-    """Numbers made of categories and flags are read from the distinct rows: nulls, a constant, both median routes."""
+def test_statistics_of_counted_groups_are_those_of_all_rows(spark):
+    """Numbers made of flags are read from the distinct flags of each group: nulls, a constant, both median routes."""
     df = skewed(spark, 1500).withColumns({
         "c": F.when(F.col("id") % 11 > 0, F.col("c")),
         "f": F.when(F.col("id") % 4 > 0, (F.col("id") % 3).cast("double")),
@@ -88,9 +88,11 @@ def test_statistics_of_counted_rows_are_those_of_all_rows(spark):
     def numbers(rows):
         return rows.withColumns({"s": F.col("f") + F.col("g"), "far": F.col("f") + 1e6, "same": F.lit(0.3), "none": F.lit(None).cast("double")})
 
-    counted = groupstats.counted_rows(df, ["c", "d", "f", "g"])
-    assert counted.count() < 400 and counted.agg(F.sum(groupstats.ROWS)).first()[0] == 1500
-    rows, few, sets, nums = materialise(numbers(df), "rows"), numbers(counted), [("c",), ("d",), ("c", "d")], ["s", "far", "same", "none"]
+    sets, nums = [("c",), ("d",), ("c", "d")], ["s", "far", "same", "none"]
+    counted = groupstats.counted_groups(df, sets, ["f", "g"])
+    assert counted.count() < 500 and counted.filter("set_id = 1").agg(F.sum(groupstats.ROWS)).first()[0] == 1500
+    rows, few = materialise(numbers(df), "rows"), numbers(counted)
+    alone = few.filter("set_id < 2")
 
     def same(a, b):
         a, b = ({(r["set"], tuple(r["keys"]), r["num"]): tuple(r)[3:] for r in t.collect()} for t in (a, b))
@@ -100,11 +102,11 @@ def test_statistics_of_counted_rows_are_those_of_all_rows(spark):
             assert all(x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(a[k], b[k]) if y is not None)
 
     bounds = groupstats.fit_bounds(rows, sets[:2], nums)
-    same(groupstats.fit_bounds(few, sets[:2], nums, groupstats.ROWS), bounds)
+    same(groupstats.fit_bounds(alone, sets[:2], nums, groupstats.ROWS), bounds)
     for limit in (10**6, 10):
         same(groupstats.fit_group_stats(few, sets, nums, limit, groupstats.ROWS), groupstats.fit_group_stats(rows, sets, nums, limit))
         want = groupstats.fit_normalised_stats(rows, bounds, sets[:2], nums, 0.9, limit)
-        same(groupstats.fit_normalised_stats(few, bounds, sets[:2], nums, 0.9, limit, groupstats.ROWS), want)
+        same(groupstats.fit_normalised_stats(alone, bounds, sets[:2], nums, 0.9, limit, groupstats.ROWS), want)
 
 
 def test_salted_join_equals_broadcast(spark):
