@@ -130,3 +130,7 @@ def test_combinations_by_blocks_are_those_of_rows(spark, monkeypatch):
             assert own.columns == [*df.columns, "got"]
             both = own.withColumn("want", combine.combination_array(flags, mode))
             assert both.filter(F.col("got").eqNullSafe(F.col("want"))).count() == len(rows)
+    some = combine.with_combinations(df, ("a", "b", "c"), "got", "all", [1, 7, 12])
+    want = E.pick("want", [1, 7, 12])
+    some = some.withColumn("want", combine.combination_array(("a", "b", "c"), "all"))
+    assert some.filter(F.col("got").eqNullSafe(want)).count() == len(rows)
